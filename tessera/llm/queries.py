@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, substring
+from . import decontaminate, mixing, quality, sharding, simhash, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_intervals")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.calibrated(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "probability", "sampled")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judged(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,11 +62,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_sharding": op5_sharding,
+    "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_url_filter": urls.ORACLE,
     "op8_quality": quality.ORACLE,
 }
