@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import partitions, stored
+from .shared import NULL_ID, id_key, partitions, stored
 
 SHINGLE = 3
 SEED = 42
@@ -58,13 +58,14 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = [fingerprint((t or "").encode()) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        fps = [fingerprint((t or "").encode()) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint in a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, th, fp): th is the text's XXH64, fp the unsigned fingerprint in a signed long."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def trie_pairs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,12 +150,26 @@ def trie_links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_join, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id of its group)."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp) by row, and (fp, least) by fingerprint: least is its group's smallest (key, th)."""
     rows = stored(fingerprints(docs, id_col, text_col), "simhash-rows")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = stored(rows.groupBy("fp").agg(F.min(F.struct(id_key("doc_id").alias("key"), "th")).alias("own")), "simhash-distinct")
     root = components(trie_links(distinct.select("fp")), "simhash")
     named = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stored(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-names")
-    return rows.join(names, "fp", "left").select("doc_id", "fp", "component_id")
+    least = named.groupBy("root").agg(F.min("own").alias("least"))
+    return rows, stored(named.select("fp", "root").join(least, "root").select("fp", "root", "least"), "simhash-names")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id of its group)."""
+    rows, names = _named(docs, id_col, text_col)
+    return rows.join(names, "fp", "left").select("doc_id", "fp", F.nullif("least.key", F.lit(NULL_ID)).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of docs with the smallest doc_id of each group; of equal ones the one with the smallest hash, once."""
+    _, names = _named(docs, id_col, text_col)
+    kept = names.where("fp = root").select(F.col("least.key").alias("_key"), F.col("least.th").alias("_th"))  # a group's root is one of its fingerprints
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    df = docs.select(F.struct(*docs.columns).alias("row"), id_key(id_col).alias("_key"), F.xxhash64(text).alias("_th"))
+    return df.join(kept, ["_key", "_th"], "left_semi").dropDuplicates(["_key", "_th"]).select("row.*")
