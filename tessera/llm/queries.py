@@ -11,7 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, substring, urls
+from . import dac, decontaminate, mixing, quality, secrets, sharding, simhash, substring, tokens, urls
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +29,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_intervals")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.counted(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -32,6 +47,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.array_sort(F.concat("base", "live"))).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
+        "n_copied",
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.calibrated(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "probability", "sampled")
@@ -62,8 +92,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_token_ids": op3_token_ids,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
