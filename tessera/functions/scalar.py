@@ -70,8 +70,8 @@ def wilson(hits: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column
     p = h / m
     mid, bottom = p + z * z / (2 * m), 1 + z * z / m
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    low, high = 100 * (mid - half) / bottom, 100 * (mid + half) / bottom
-    return F.coalesce(F.greatest(F.lit(0.0), low), F.lit(0.0)), F.coalesce(F.least(F.lit(100.0), high), F.lit(0.0))
+    clamped = lambda x: F.when(n > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * x / bottom))).otherwise(0.0)
+    return clamped(mid - half), clamped(mid + half)
 
 
 def factor(ratio: Column, cap: float = 2.0) -> Column:

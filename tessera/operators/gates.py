@@ -48,7 +48,7 @@ def waivers(df: DataFrame) -> DataFrame:
     """(gid, problems): why each waiver doesn't hold, in order; an empty list is a waiver that does."""
     c = F.col
     gap = F.abs(c("value") - c("target")) > F.abs(c("before") - c("target")) * 1.02
-    ratio = F.when(c("lower_is_better"), c("value") / c("target")).otherwise(c("target") / c("value"))
+    ratio = F.when(c("lower_is_better"), F.try_divide("value", "target")).otherwise(F.try_divide("target", "value"))
     rules = [(c("type") == "HARD", "hard"), (c("iterations") < 5, "iterations"), (c("strategies") < 3, "strategies"), (c("before").isNull(), "no-history"), (gap, "regressing"), (c("perf") & (c("target") != 0) & (ratio > 2), "over-cap")]
     return df.select("gid", F.array_compact(F.array(*[F.when(rule, word) for rule, word in rules])).alias("problems"))
 
