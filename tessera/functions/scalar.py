@@ -81,4 +81,4 @@ def factor(ratio: Column, cap: float = 2.0) -> Column:
 
 def pearson(x: str, y: str) -> Column:
     """Aggregate: Pearson's r, 0 where it isn't defined."""
-    return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
