@@ -28,9 +28,7 @@ def retain_unknown(new: DataFrame, existing: DataFrame) -> DataFrame:
 def store_counts(chunks: DataFrame) -> DataFrame:
     """Packs, their chunks (one that two packs hold counts twice), and distinct chunks."""
     held = chunks.select("pack_id", "chunk_id").distinct()
-    per = held.groupBy("chunk_id").agg(F.count("*").alias("n"))
-    packs = chunks.select("pack_id").distinct().agg(F.count("*").alias("packs"))
-    return per.agg(F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks")).join(packs).select("packs", "chunks", "distinct_chunks")
+    return held.agg(F.count_distinct("pack_id").alias("packs"), F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("distinct_chunks"))
 
 
 def newest_pack(chunks: DataFrame) -> DataFrame:
@@ -70,4 +68,5 @@ def verify_report(refs: DataFrame, store: DataFrame, redacted: DataFrame) -> Dat
     )
     by_chunk = found.select("chunk_id", "state").distinct().agg(*[F.count_if(F.col("state") == s).alias(f"chunks_{s}") for s in ("verified", "absent", "redacted")])
     by_doc = found.groupBy("doc_id").agg(F.count_if(F.col("state") != "verified").alias("n")).agg(F.count_if(F.col("n") > 0).alias("partial_docs"), F.count("*").alias("docs"))
-    return by_chunk.join(by_doc)
+    both = by_chunk.unionByName(by_doc, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

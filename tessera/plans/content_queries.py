@@ -23,13 +23,13 @@ def dedup_report(spark, d):
 
 
 FIXED = """
-with docs as (select doc_id, source, text from documents),
-chunks as (select source, substr(text, cast(64 * i + 1 as bigint), 64) c from docs, unnest(range(0, cast(ceil(length(text) / 64.0) as bigint))) r(i)),
-chunks2 as (select source, sha256(c) chunk_id, strlen(c) len from chunks)"""
+with parts as (select source, substr(text, cast(64 * i + 1 as bigint), 64) c from documents, unnest(range(0, cast(ceil(length(text) / 64.0) as bigint))) r(i)),
+chunks as (select source, sha256(c) chunk_id, strlen(c) len from parts)"""
 
 
-@query(FIXED.replace("chunks2 as", "chunks3 as").replace("chunks as (select source, substr", "parts as (select source, substr").replace("from chunks)", "from parts)") + REPORT.format(key="source").replace("from chunks ", "from chunks3 "))
+@query(FIXED + REPORT.format(key="source"))
 def dedup_report_fixed(spark, d):
+    """The same over chunks of 64 characters."""
     docs = table(spark, d, "documents").select("source", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 64) - 1)).alias("i")).where("length(text) > 0")
     part = F.expr("substr(text, cast(64 * i + 1 as int), 64)")
     return content.dedup_report(docs.select("source", F.sha2(part.cast("binary"), 256).alias("chunk_id"), F.octet_length(part).cast("long").alias("len")), "source")

@@ -119,12 +119,11 @@ def fuzz_outstanding(spark, d):
 
 @query("""
 with j as (select n_regionkey platform, bool_and(n_nationkey % 9 <> 0) ok, bool_or(n_nationkey % 4 = 0) step from nation group by 1)
-select count(*) platforms, count(*) filter (ok and step) passed, case when 1 = 0 then 0 else count(*) filter (ok and step) end "value" from j""")
+select count(*) platforms, count(*) filter (ok and step) passed from j""")
 def platform_pass(spark, d):
-    """Platforms whose jobs all succeeded and whose needed step ran; a stale run would count for nothing."""
+    """Platforms whose jobs all succeeded and whose needed step ran."""
     j = table(spark, d, "nation").groupBy("n_regionkey").agg(F.bool_and(F.col("n_nationkey") % 9 != 0).alias("ok"), F.bool_or(F.col("n_nationkey") % 4 == 0).alias("step"))
-    passed = F.count_if(F.col("ok") & F.col("step"))
-    return j.agg(F.count("*").alias("platforms"), passed.alias("passed"), F.when(F.lit(False), 0).otherwise(passed).alias("value"))
+    return j.agg(F.count("*").alias("platforms"), F.count_if(F.col("ok") & F.col("step")).alias("passed"))
 
 
 @query("""

@@ -122,8 +122,7 @@ def ancestors(spark, d):
 
 def line_pairs(cps):
     """A line's tip at entry 40 beside another's (or its own) in the end, in every log."""
-    lines = cps.sparkSession.range(4).select(F.col("id").cast("int").alias("line"))
-    grid = cps.select("log_id").distinct().join(F.broadcast(lines))  # four lines a log
+    grid = cps.select("log_id").distinct().select("log_id", F.explode(F.array(*map(F.lit, range(4)))).alias("line"))
     early = cps.where("seq <= 40").groupBy("log_id", "line").agg(F.max_by("id", "seq").alias("ours"))
     late = cps.groupBy("log_id", "line").agg(F.max_by("id", "seq").alias("theirs"))
     ours = grid.join(early, ["log_id", "line"], "left").withColumnRenamed("line", "a")
