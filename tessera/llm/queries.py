@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, mixing, quality, secrets, sharding, simhash, substring, tokens, urls
+from . import dac, decontaminate, mixing, oracles, quality, secrets, sharding, simhash, substring, tokens, urls
 
 
 def vocabulary(name: str) -> str:
@@ -104,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING,
     "op4_url_filter": urls.ORACLE,
+    "op6_secrets": oracles.SECRETS,
     "op8_quality": quality.ORACLE,
+    "op10_decontaminate": oracles.DECONTAMINATE,
 }
