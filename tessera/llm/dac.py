@@ -35,7 +35,7 @@ END = 0
 SEGMENT = 2_000_000
 RANK = 512
 MAGIC = b"DAC1"
-WORDS = 500_000
+WORDS = 1_000_000
 
 
 def widths_of(ids: np.ndarray) -> list[int]:
@@ -142,16 +142,31 @@ class Dac:
 
 #: White space other than single spaces, and characters that some take for it: such texts are encoded whole.
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: A part of letters, then marks: for these characters every Unicode version has one class, so it's two pre-tokens.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 _encoders: dict[str, Encoder] = {}
 
 
+class Memo(dict):
+    """Asks for what it hasn't got, and keeps it."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = got = self.ask(key)
+        return got
+
+
 class Encoder:
     """The library's ids of whole texts.
 
     The byte-level pre-tokenizer always parts a text before a space that stands between two characters that aren't
     white space, and encodes the parts one by one. So texts without other white space than such spaces and line
     ends inside words are encoded by parts, of which a worker remembers WORDS; others, and those with a special
-    token's text, are encoded whole.
+    token's text, are encoded whole. A part that isn't remembered is taken as letters and marks if it is plain; the
+    library's model encodes the letters, which are remembered too.
     """
 
     def __init__(self, path: str):
@@ -164,7 +179,31 @@ class Encoder:
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.by_part = '"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true' in pre
         self.kind = np.uint16 if self.model.get_vocab_size() <= 65536 else np.uint32
-        self.seen: dict[str, bytes] = {}
+        self.seen = Memo(self.part)
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the byte-level alphabet: other bytes are written as U+0100 and on
+        alphabet = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.space = alphabet[0x20]
+        self.line = self.whole(["\n"])[0].tobytes()
+
+    def part(self, w: str) -> bytes:
+        """The ids of a part that a space precedes. Single line ends between plain lines are tokens of their own."""
+        lines = [PLAIN.fullmatch(x) for x in w.split("\n")]
+        if not all(lines):
+            return self.whole([" " + w])[0].tobytes()
+        out, before = [], self.space
+        for m in lines:
+            stem, mark = m.groups()
+            word = before + stem.translate(self.letters)
+            if (ids := self.stems.get(word)) is None:
+                ids = self.stems[word] = np.array([t.id for t in self.model.model.tokenize(word)], self.kind).tobytes()
+            if (tail := self.marks.get(mark)) is None:
+                tail = self.marks[mark] = self.whole([mark])[0].tobytes()
+            out += [ids, tail, self.line]
+            before = ""
+        return b"".join(out[:-1])
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -173,27 +212,18 @@ class Encoder:
         return not self.by_part or t[:1] in " \n" or t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or ODD.search(t) is not None or any(s in t for s in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > WORDS:
-            self.seen.clear()
+        for kept in (self.seen, self.stems, self.marks):
+            if len(kept) > WORDS:
+                kept.clear()
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        whole, open_, new = [], [], set()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if self.odd(t):
-                whole.append(i)
-                continue
-            first, *rest = t.split(" ")
-            open_.append((i, first, rest))
-            new.update(w for w in rest if w not in self.seen)
-        if new:
-            names = list(new)
-            self.seen.update(zip(names, (x.tobytes() for x in self.whole([" " + w for w in names])), strict=True))
-        heads = self.whole([x[1] for x in open_])
-        for (i, _, rest), head in zip(open_, heads, strict=True):
-            out[i] = np.concatenate([head, np.frombuffer(b"".join(map(self.seen.__getitem__, rest)), self.kind)])
+        whole = [i for i, t in enumerate(texts) if t and self.odd(t)]
         for i, x in zip(whole, self.whole([texts[i] for i in whole]), strict=True):
             out[i] = x
+        rest = sorted({i for i, t in enumerate(texts) if t}.difference(whole))
+        split = [texts[i].split(" ") for i in rest]
+        heads, ids = self.whole([x[0] for x in split]), self.seen.__getitem__
+        for i, head, parts in zip(rest, heads, split, strict=True):
+            out[i] = np.concatenate([head, np.frombuffer(b"".join(map(ids, parts[1:])), self.kind)])
         return out
 
 
