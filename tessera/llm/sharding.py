@@ -7,8 +7,8 @@ driver adds up one number a partition.
 The smallest capacity is found by binary search: a capacity is feasible if the greedy rule, which fills each shard
 as far as it goes, needs at most `shards`. The driver never holds all group ends: it knows some ends, POINTS at
 most in the first reading, and asks for those between only where a cut can fall. A known gap counts as divisible,
-which gives a lower bound; known ends alone give an upper bound; gaps that a cut at either capacity can touch are
-read more finely until the bounds meet. With that capacity, each cut is the end nearest to an even share among
+which gives a lower bound; known ends alone give an upper bound; the ranges in which a cut can lie, one a
+shard at most, are read more finely until the bounds meet. With that capacity, each cut is the end nearest to an even share among
 those that leave every shard within it.
 
 Defined results. Size: UTF-8 bytes (null: none) plus OVERHEAD. Null and empty text are one group. Repeated rows are
@@ -32,6 +32,8 @@ SHARDS = 40
 OVERHEAD = 16
 #: Group ends that the driver asks for at once.
 POINTS = 20_000
+#: So many it takes one by one.
+FETCH = 200_000
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,47 +95,53 @@ def even(ends: list[int], capacity: int, shards: int) -> list[int]:
     return cuts
 
 
-def cut_points(groups: DataFrame, total: int, shards: int, points: int = POINTS) -> tuple[int, list[int]]:
-    """The smallest capacity and the cuts. groups: (end, size), one row a group, written."""
-    known: dict[int, bool] = {0: False}  # end -> whether ends lie between it and the known end before
-
-    def read(gaps: list[tuple[int, int]]) -> None:
-        lows, share = [g[0] for g in gaps], max(4, points // len(gaps))
-        step = [max(1, -(-(hi - lo) // share)) for lo, hi in gaps]
-        arr = lambda v: F.array(*map(F.lit, v)).cast("array<long>")
-        df = groups.where((F.col("end") > lows[0]) & (F.col("end") <= gaps[-1][1]))
-        if len(gaps) == 1:
-            df = df.select("end", F.floor((F.col("end") - lows[0] - 1) / step[0]).alias("b"), F.lit(0).alias("g"))
-        else:
-            g = F.size(F.filter(arr(lows), lambda x: x < F.col("end"))) - 1
-            df = df.withColumn("g", g).where(F.col("end") <= F.get(arr([h for _, h in gaps]), F.col("g")))
-            df = df.select("end", "g", F.floor((F.col("end") - F.get(arr(lows), F.col("g")) - 1) / F.get(arr(step), F.col("g"))).alias("b"))
-        got = df.groupBy("g", "b").agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count("*").alias("n")).collect()
-        known.update({int(r.first): False for r in got})  # nothing lies between it and the end before
+def cut_points(groups: DataFrame, total: int, shards: int, points: int = POINTS, fetch: int = FETCH) -> tuple[int, list[int]]:
+    """The smallest capacity and the cuts. groups: (end), one row a group, written."""
+    known: dict[int, bool] = {0: False}  # end -> whether ends may lie between it and the known end before
+
+    def read(ranges: list[tuple[int, int]], points: int) -> None:
+        """Ranges (after, up to) begin and end at known ends (or the total); there are as many as shards at most."""
+        within = F.lit(False)
+        for lo, hi in ranges:
+            within |= (F.col("end") > lo) & (F.col("end") <= hi)
+        df = groups.where(within).select("end")
+        if df.count() <= fetch:
+            known.update({int(r.end): False for r in df.collect()})
+            return
+        share = max(4, points // len(ranges))
+        g, b = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (lo, hi) in enumerate(ranges):
+            own = (F.col("end") > lo) & (F.col("end") <= hi)
+            g = F.when(own, i).otherwise(g)
+            b = F.when(own, F.floor((F.col("end") - lo - 1) / max(1, -(-(hi - lo) // share)))).otherwise(b)
+        got = df.groupBy(g.alias("g"), b.alias("b")).agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count("*").alias("n")).collect()
+        known.update({int(r.first): False for r in got})  # nothing lies between it and the bucket before
         known.update({int(r.last): r.n > 2 for r in got if r.n > 1})
 
-    def bounds() -> tuple[list[int], list[bool], int, int]:
+    read([(0, total)], points)
+    while True:
         ends = sorted(known)[1:]
         divisible = [known[e] for e in ends]
-        sizes = np.diff([0, *ends])
-        solid = max((int(s) for s, d in zip(sizes, divisible, strict=True) if not d), default=1)
-        low = max(-(-total // shards), solid)
-        high = smallest(ends, shards, low, total)
-        return ends, divisible, smallest(ends, shards, low, high, divisible), high
-
-    read([(0, total)])
-    while True:
-        ends, divisible, low, high = bounds()
+        solid = max((e - b for b, e, d in zip([0, *ends], ends, divisible, strict=False) if not d), default=1)
+        least = max(-(-total // shards), solid)
+        high = smallest(ends, shards, least, total)
+        low = smallest(ends, shards, least, high, divisible)
         if low == high:
             return high, even(ends, high, shards)
         first, last = greedy(ends, low, shards, divisible), greedy(ends, high, shards)
         last += [total] * len(first)
-        gaps, before = [], 0
-        for e, d in zip(ends, divisible, strict=True):
-            if d and any(before < b and a < e for a, b in zip(first, last)):
-                gaps.append((before, e))
-            before = e
-        read(gaps or [(b, e) for b, e, d in zip([0, *ends], ends, divisible) if d])
+        ranges: list[tuple[int, int]] = []
+        for a, b in zip(first, last, strict=False):  # a cut lies between a and b, whatever the capacity is
+            i, k = bisect_left(ends, a), bisect_left(ends, b)
+            touched = [j for j in range(i, min(k, len(ends) - 1) + 1) if divisible[j]]
+            if touched:
+                lo, hi = ends[touched[0] - 1] if touched[0] else 0, ends[touched[-1]]
+                if ranges and lo <= ranges[-1][1]:
+                    ranges[-1] = (ranges[-1][0], max(hi, ranges[-1][1]))
+                else:
+                    ranges.append((lo, hi))
+        points *= 2
+        read(ranges or [(0, total)], points)
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", points: int = POINTS) -> DataFrame:

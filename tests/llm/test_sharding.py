@@ -23,8 +23,9 @@ def plain_capacity(sizes, shards):
 
 
 @pytest.mark.parametrize("points", [50, 5000])
+@pytest.mark.parametrize("fetch", [30, 10**6])
 @pytest.mark.parametrize("huge", [0, 3000])
-def test_search(spark, points, huge):
+def test_search(spark, points, fetch, huge):
     rng = random.Random(points + huge)
     sizes = [rng.choice([17, 40, rng.randrange(16, 400)]) for _ in range(600)]
     sizes[100] += huge * 10
@@ -32,7 +33,7 @@ def test_search(spark, points, huge):
     for s in sizes:
         at += s
         ends.append(at)
-    capacity, cuts = sharding.cut_points(spark.createDataFrame([(e,) for e in ends], "end long"), at, 7, points)
+    capacity, cuts = sharding.cut_points(spark.createDataFrame([(e,) for e in ends], "end long"), at, 7, points, fetch)
     assert capacity == plain_capacity(sizes, 7)
     assert len(cuts) == 6 and set(cuts) <= {0, *ends} and cuts == sorted(cuts)
     assert max(b - a for a, b in zip([0, *cuts], [*cuts, at])) <= capacity
