@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, pieces
+from .shared import new_path, pieces, stored
 
 LIMIT = 4096
 WORDS = 1_000_000
@@ -110,4 +110,5 @@ def counted(docs: DataFrame, path: str, cache: str | None = None, id_col: str =
     misses = df.groupBy("digest").agg(F.first("text").alias("text")).join(known().select("digest"), "digest", "left_anti")
     made = misses.select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
     made.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return df.select("doc_id", "n_bytes", "digest").join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(known(), "token-counts")  # a join of plain shuffles, which Spark splits where many rows have one digest
+    return df.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
