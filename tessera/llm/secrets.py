@@ -3,13 +3,15 @@
 Base spans are the leftmost non-overlapping matches of each pattern. Their values, and those of long mixed tokens, are
 candidates; each one's hash is counted by distinct repositories (documents) and owners (sources) over the whole
 corpus. A value of one owner looks like a live credential of theirs, and its place is added as a span of kind `live`;
-one that several owners hold is a copied example and adds nothing. Counting goes by (hash, owner) first, on the map
-side too, so a value that everybody copies is a row per owner.
+one that several owners hold is a copied example and adds nothing. With `most_docs` given, so is one that lies in more
+documents than that, of one owner or not; without it, owners alone decide, as in the query's SQL. Counting goes by
+(hash, document) and (hash, owner) first, on the map side too, so a value that everybody copies is a row per document
+at most.
 
 A match's place is the sum of the lengths of what the text splits into before it.
 
 Defined results. Null or empty text: no spans, the hash of an empty string. Null source: an owner of its own.
-Repeated rows: each has its spans; they add no owner. Null doc_id stays. Extra columns aren't read. Empty table:
+Repeated rows: each has its spans; they add no owner and no document. Null doc_id stays, all of them one document. Extra columns aren't read. Empty table:
 empty result.
 """
 
@@ -52,8 +54,11 @@ def valued(span: Column) -> Column:
     return F.struct((span["end"] - F.length(v)).alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), v.alias("value"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(doc_id, base, live, n_copied): spans as arrays of (start, kind, end), in order of start, then kind."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_docs: int | None = None) -> DataFrame:
+    """(doc_id, base, live, n_copied, counts): spans as arrays of (start, kind, end), in order of start, then kind.
+
+    counts has (start, end, n_docs, n_owners) of every candidate.
+    """
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
     df = df.select("doc_id", "owner", matches(t, ASSIGN, 0).alias("assign"), matches(t, ACCESS, 1).alias("access"), matches(t, HEX, 2).alias("hex"), matches(t, LONG, 3).alias("long"))
@@ -66,14 +71,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     # equal values at one place, found in several ways, are one candidate
     wanted = F.array_distinct(F.transform(F.concat(F.transform("assign", valued), "access", "hex", "long"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.unhex(F.sha2(s["value"].cast("binary"), 256)).alias("hash"))))
     rows = stored(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", base.alias("base"), wanted.alias("wanted")), "secrets-rows")
-    found = rows.where(F.size("wanted") > 0).select("row", "owner", F.explode("wanted").alias("w")).select("row", "owner", "w.*")
-    owners = found.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_owners"))
-    judged = found.join(owners, "hash").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n_owners") == 1, F.struct("start", F.lit(3).alias("kind"), "end")))).alias("live"),
-        F.count_if(F.col("n_owners") > 1).alias("n_copied"),
+    found = rows.where(F.size("wanted") > 0).select("row", "doc_id", "owner", F.explode("wanted").alias("w")).select("row", "doc_id", "owner", "w.*")
+
+    def distinct(col: str, name: str) -> DataFrame:
+        return found.groupBy("hash", col).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias(name))
+
+    copied = F.col("n_owners") > 1
+    if most_docs is not None:
+        copied |= F.col("n_docs") > most_docs
+    shared = distinct("owner", "n_owners").join(distinct("doc_id", "n_docs"), "hash")
+    judged = found.select("row", "hash", "start", "end").join(shared, "hash").groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(~copied, F.struct("start", F.lit(3).alias("kind"), "end")))).alias("live"),
+        F.count_if(copied).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("start", "end", "n_docs", "n_owners"))).alias("counts"),
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.join(judged, "row", "left").select("doc_id", "base", F.coalesce("live", none).alias("live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    bare = F.array().cast("array<struct<start:int,end:int,n_docs:bigint,n_owners:bigint>>")
+    return rows.join(judged, "row", "left").select("doc_id", "base", F.coalesce("live", none).alias("live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("counts", bare).alias("counts"))
 
 
 def written(spans: Column) -> Column:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+from tessera.llm import secrets
 from tessera.llm.queries import QUERIES
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -64,3 +65,16 @@ def test_query(spark):
     got = QUERIES["op6_secrets"](spark, d).collect()
     assert sorted((repr(r[0]), *tuple(r)[1:]) for r in got) == brute(rows)
     assert sum(r.n_assign for r in got) and sum(r.n_live for r in got)
+
+
+def test_documents_are_counted(spark):
+    rows = [(k % 40, "secret=samplekey", "hot") for k in range(80)] + [(k, "token=nobodyskey", None) for k in range(100, 103)]
+    rows += [(200, "secret=onlyhere and secret=onlyhere", "hot"), (201, "secret=twoowners", "s"), (202, "secret=twoowners", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def say(**kw):
+        return {(r.doc_id, r.n_copied, len(r.live), tuple((c.n_docs, c.n_owners) for c in r.counts)) for r in secrets.scan(df, **kw).collect()}
+
+    two = {(201, 1, 0, ((2, 2),)), (202, 1, 0, ((2, 2),)), (200, 0, 2, ((1, 1), (1, 1)))}
+    assert say() == two | {(k, 0, 1, ((40, 1),)) for k in range(40)} | {(k, 0, 1, ((3, 1),)) for k in range(100, 103)}
+    assert say(most_docs=3) == two | {(k, 1, 0, ((40, 1),)) for k in range(40)} | {(k, 0, 1, ((3, 1),)) for k in range(100, 103)}
