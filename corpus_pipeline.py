@@ -7,6 +7,7 @@ returns each document's shard and slot.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, quality, sharding, simhash
 from tessera.llm.shared import stored
@@ -29,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled by their calibrated probabilities."""
-    return mixing.sample(docs)
+    return mixing.sample(docs, topic=mixing.opening_topic(F.col("text")))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

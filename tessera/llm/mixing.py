@@ -7,8 +7,10 @@ for values that have no tokens is left out and the rest scaled up. A document's
 weight over its tokens, scaled so that the largest is `top`; a document stays if a hash of its doc_id and text,
 as a number in [0, 1), is below it. So equal inputs give equal samples, wherever and in whatever order they run.
 
-A topic is the residue of the hash of the document's first word of 12 characters or more: a stand-in that needs no model; `topic` takes any
-other column expression.
+A topic has as its score the number of the text's terms whose hash's residue it is; the topic of the highest score is
+the document's, the first by name of those that tie. Terms are all words of TERM's length, or all words at all in a text
+without such, in small letters, as often as they occur. That is a stand-in that needs no model; `topic` takes any other
+column expression. `opening_topic` reads the first long word only; the pipeline has it as long as its test asks for it.
 
 Defined results. Null or empty text: no tokens, probability of its cell, or `top` if its cell has no tokens. Null
 source or language: OTHER. Repeated rows share their fate. Empty table: empty result. Other columns are kept.
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import words_of
+from .quality import let, words_of
 from .shared import NULL_ID
 
 OTHER = "(other)"
@@ -34,6 +36,8 @@ TOPICS = {str(i): 0.25 for i in range(4)}
 
 
 LONG_WORD = r"[^\x20\x09-\x0D]{12,}"
+TERM = r"[\p{L}\p{M}\p{N}]{8,}"
+ANY_TERM = r"[\p{L}\p{M}\p{N}]+"
 
 
 def tokens_of(text: Column) -> Column:
@@ -42,6 +46,22 @@ def tokens_of(text: Column) -> Column:
 
 
 def topic_of(text: Column, n: int = 4) -> Column:
+    """The topic most of the whole text's terms speak for."""
+
+    def terms(t: Column) -> Column:
+        every = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return let(every(TERM), lambda w: F.when(F.size(w) > 0, w).otherwise(every(ANY_TERM)))
+
+    def winner(votes: Column) -> Column:
+        names = sorted(map(str, range(n)))
+        scores = F.array(*[F.size(F.array_remove(votes, int(k))) for k in names])  # the votes for others
+        return let(scores, lambda x: F.get(F.array(*map(F.lit, names)), (F.array_position(x, F.array_min(x)) - 1).cast("int")))
+
+    votes = F.transform(terms(F.lower(F.coalesce(text, F.lit("")))), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(n)).cast("int"))
+    return let(votes, winner)
+
+
+def opening_topic(text: Column, n: int = 4) -> Column:
     return F.pmod(F.crc32(F.regexp_extract(F.coalesce(text, F.lit("")), LONG_WORD, 0).cast("binary")), F.lit(n)).cast("string")
 
 

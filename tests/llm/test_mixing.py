@@ -1,9 +1,12 @@
 """Op 7: raking against plain loops; sampling by its probabilities."""
 
 import random
+import re
+import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing
 from tessera.llm.queries import QUERIES
@@ -61,3 +64,30 @@ def test_query_fits_its_targets(spark):
         assert all(abs(share[k] - v / sum(target.values())) < 1e-6 for k, v in target.items())
     drawn = sum(r.n_tokens for r in rows if r.sampled)
     assert abs(drawn - total) < 0.1 * total
+
+
+def brute_topic(text):
+    text = (text or "").lower()
+    terms = re.findall(r"[^\W_]{8,}", text) or re.findall(r"[^\W_]+", text)
+    n = Counter(zlib.crc32(w.encode()) % 4 for w in terms)
+    return str(min(range(4), key=lambda k: (-n[k], k)))
+
+
+def test_topic_is_of_the_whole_text(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeéßxyz") for _ in range(rng.randrange(1, 14))) for _ in range(200)]
+    of = {k: next(w for w in (f"é{'a' * 12}{i}" for i in range(99)) if zlib.crc32(w.encode()) % 4 == k) for k in range(4)}
+    words += of.values()
+    late = [f"{of[a]} header {'of a no ' * 500}{of[b]}, {of[b].upper()}. {of[b]}" for a in range(4) for b in range(4)]
+    short = [None, "", "  ", "no long one", "a b\tc", "one", "..."]
+    texts = late + short + [" ".join(rng.choices(words, k=rng.randrange(40))) + rng.choice(["", ",", "!\n"]) for _ in range(200)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = [r.topic for r in df.select("k", mixing.topic_of(F.col("text")).alias("topic")).orderBy("k").collect()]
+    assert got[: len(late)] == [str(b) for _ in range(4) for b in range(4)]
+    assert got == [brute_topic(t) for t in texts]
+
+
+def test_query_has_the_topic_of_the_whole_text(spark):
+    d = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    assert all(r.topic == brute_topic(text[r.doc_id]) for r in QUERIES["op7_mixing"](spark, d).collect())
