@@ -188,3 +188,29 @@ def test_verify_tells_absent_from_redacted(spark):
     df = lambda rows: spark.createDataFrame(rows, "doc_id long, chunk_id string")
     got = content.verify_report(df([(1, "a"), (1, "b"), (2, "a"), (3, "c")]), df([(0, "a")]), df([(0, "b")])).head()
     assert (got.chunks_verified, got.chunks_absent, got.chunks_redacted, got.partial_docs, got.docs) == (1, 1, 1, 2, 3)
+
+
+def test_normalize_text_keeps_documents_with_imports(spark, tmp_path):
+    import hashlib
+    import re
+
+    from tessera.plans import QUERIES
+
+    texts = ["import b\nimport a\nx = [1, 2,]\n", "use z;\nuse a;  \n\nfrom q import r\n", "plain  \r\ntext", "#include <b>\n#include <a>\nrequire x\nint y;", "a\n  import z\nimport b\n\n\n\n\nend\n\n"]
+    line = re.compile(r"\s*(import\b|from\b.*\bimport\b|use\b.*;|#include\b|require\b)")
+
+    def brute(t):
+        out, held = [], []
+        for x in re.sub("\r\n?", "\n", t).split("\n"):
+            x = x.rstrip()
+            if line.match(x):
+                held.append(x)
+            else:
+                out += [*sorted(held), x]
+                held = []
+        t = re.sub(r",(\s*[)\]}])", r"\1", "\n".join(out + sorted(held)))
+        return hashlib.sha256((re.sub("\n{4,}", "\n\n\n", t).rstrip("\n") + "\n").encode()).hexdigest()
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.hash for r in QUERIES["normalize_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: brute(t) for k, t in enumerate(texts)}
