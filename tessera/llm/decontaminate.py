@@ -9,7 +9,8 @@ many parts as needed, each with an automaton of its own, one pass over the docum
 between the passes, so no task ever holds more than one part.
 
 Defined results. Null or blank texts have no words; an item without words is no window, one of under 10 words is
-one window. Items with equal windows are all named; item_ids that repeat are named once, a null item_id never.
+one window. Items with equal windows are all named; item_ids that repeat are named once, a null item_id never, though
+its windows hit.
 Null doc_ids and repeated rows stay as they are. Extra columns are kept apart and can't clash. No documents: empty
 result; no items: nothing is hit.
 """
@@ -36,13 +37,13 @@ MADE = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string(
 
 
 class Automaton:
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
         keys: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             words = [self.number.setdefault(w, len(self.number) + 1) for w in text.encode().translate(FOLD).split()]
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                keys.setdefault(tuple(words[i : i + window]), set()).add(item)
+                keys.setdefault(tuple(words[i : i + window]), set()).update([] if item is None else [item])
         self.names = sorted({x for s in keys.values() for x in s})
         at = {x: i for i, x in enumerate(self.names)}
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -72,7 +73,7 @@ def _spans(raw: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
 
 
-def _scan(items: list[tuple[str, str]], window: int, spans: bool):
+def _scan(items: list[tuple[str | None, str]], window: int, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(items, window)
         for batch in batches:
@@ -101,7 +102,7 @@ def _scan(items: list[tuple[str, str]], window: int, spans: bool):
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, spans: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(row, n_words, n_hit, items, spans): row is the whole row of docs as a struct."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     parts = -(-size // most_bytes) or 1
     df = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<string>").alias("items"))

@@ -72,6 +72,17 @@ def test_empty(spark):
     assert decontaminate.clean(docs.limit(0), none).collect() == []
 
 
+@pytest.mark.parametrize("most_bytes", [10**6, 40])
+def test_items_without_id_hit(spark, most_bytes):
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = [(1, f"before {passage} after"), (2, "one two"), (3, "x short item y"), (4, "nothing of it")]
+    items = [(None, passage), (None, "short item"), (7, "one two"), (8, "short item"), (None, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(df, bench, most_bytes=most_bytes).collect()
+    assert sorted((repr(r.row.doc_id), r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in got) == brute(docs, items)
+    assert [r.doc_id for r in decontaminate.clean(df, bench, most_bytes=most_bytes).collect()] == [4]
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = lambda t: [tuple(r[:2]) for r in spark.read.parquet(f"{d}/{t}.parquet").collect()]
