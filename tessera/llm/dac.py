@@ -18,32 +18,33 @@ files, empty result.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_key, new_path, partitions, pieces
+from .shared import new_path, partitions, pieces, quoted, temporary, text_bytes
 
 END = 0
 SEGMENT = 2_000_000
 RANK = 512
 MAGIC = b"DAC1"
-WORDS = 1_000_000
+WORDS = 400_000
 
 
 def widths_of(ids: np.ndarray) -> list[int]:
     """Chunk widths that take the fewest bits, a continuation bit for all levels but the last counted."""
-    bits = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(int)) if len(ids) else np.ones(1, int)
-    top = int(bits.max())
-    over = [int((bits > b).sum()) for b in range(top + 1)]  # ids of more than b bits
-    over[0] = len(bits)
+    top = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    over = [len(ids), *(int((ids >> b > 0).sum()) for b in range(1, top + 1))]  # ids of more than b bits
+    over[0] = max(1, over[0])
     best, step = [0.0] * (top + 1), [0] * (top + 1)
     for b in range(top - 1, -1, -1):
         costs = [(over[b] * (w + (b + w < top)) + best[b + w], w) for w in range(1, top - b + 1)]
@@ -56,13 +57,39 @@ def widths_of(ids: np.ndarray) -> list[int]:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
+    """Highest bits first; eight values take `width` bytes, so eight columns of values make `width` columns of bytes."""
     out = []
-    for lo in range(0, len(values), 1 << 18):  # a multiple of 8 values ends at a byte
-        bits = np.unpackbits(values[lo : lo + (1 << 18)].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-        out.append(np.packbits(bits.reshape(-1)).tobytes())
+    for lo in range(0, len(values), 1 << 18):
+        part = values[lo : lo + (1 << 18)].astype(np.uint32)
+        column = np.append(part, np.zeros(-len(part) % 8, np.uint32)).reshape(-1, 8).T.copy()
+        made = np.zeros((width, column.shape[1]), np.uint8)
+        for j in range(8):
+            end = (j + 1) * width
+            for b in range(j * width // 8, (end - 1) // 8 + 1):
+                shift = end - 8 * (b + 1)
+                made[b] |= (column[j] >> shift if shift >= 0 else column[j] << -shift).astype(np.uint8)
+        out.append(made.T.tobytes()[: -(-len(part) * width // 8)])
     return b"".join(out)
 
 
+def unpack_all(data: np.ndarray, width: int, count: int) -> np.ndarray:
+    """All values, by columns as in pack()."""
+    out = np.empty(count, np.uint32)
+    for lo in range(0, count, 1 << 18):
+        n = min(1 << 18, count - lo)
+        rows = -(-n // 8)
+        raw = data[lo * width // 8 : lo * width // 8 + rows * width]
+        byte = np.append(raw, np.zeros(rows * width - len(raw), np.uint8)).reshape(rows, width).T.astype(np.uint32)
+        made = np.zeros((8, rows), np.uint32)
+        for j in range(8):
+            end = (j + 1) * width
+            for b in range(j * width // 8, (end - 1) // 8 + 1):
+                shift = end - 8 * (b + 1)
+                made[j] |= byte[b] << shift if shift >= 0 else byte[b] >> -shift
+        out[lo : lo + n] = (made & np.uint32((1 << width) - 1)).T.reshape(-1)[:n]
+    return out
+
+
 def unpack(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """The values at these indices."""
     bit = at * width
@@ -92,7 +119,7 @@ class Dac:
 
     @staticmethod
     def write(ids: np.ndarray) -> bytes:
-        ids = ids.astype(np.int64)
+        ids = ids.astype(np.uint32)
         widths = widths_of(ids)
         out, rest = [MAGIC, struct.pack("<QI", len(ids), len(widths))], ids
         for w in widths:
@@ -100,7 +127,7 @@ class Dac:
             flag = more > 0
             last = w == widths[-1] and not flag.any()
             ranks = np.append(0, np.cumsum(np.add.reduceat(flag, np.arange(0, len(flag), RANK)) if len(flag) else [])).astype(np.uint32)
-            body = (pack(rest & ((1 << w) - 1), w), b"" if last else np.packbits(flag).tobytes(), b"" if last else ranks.tobytes())
+            body = (pack(rest & np.uint32((1 << w) - 1), w), b"" if last else np.packbits(flag).tobytes(), b"" if last else ranks.tobytes())
             out += [struct.pack("<IQQQQ", w, len(rest), *map(len, body)), *body]
             rest = more[flag]
         return b"".join(out)
@@ -129,44 +156,41 @@ class Dac:
 
     def all(self) -> np.ndarray:
         """All ids, a level at a time."""
-        out, who, shift = np.zeros(self.n, np.int64), np.arange(self.n), 0
+        out, who, shift = np.zeros(self.n, np.uint32), None, 0
         for width, count, data, bitmap, _ in self.levels:
-            for lo in range(0, count, 1 << 18):
-                part = np.arange(lo, min(count, lo + (1 << 18)))
-                out[who[part]] |= unpack(data, width, part) << shift
+            got = unpack_all(data, width, count)
+            if who is None:
+                out, who = got, np.arange(count, dtype=np.int32 if count < 1 << 31 else np.int64)
+            else:
+                out[who] |= got << np.uint32(shift)
             if not len(bitmap):
                 break
-            who, shift = who[np.unpackbits(bitmap)[:count].astype(bool)], shift + width
+            who, shift = who[np.unpackbits(bitmap)[:count].view(bool)], shift + width
         return out
 
 
-#: White space other than single spaces, and characters that some take for it: such texts are encoded whole.
-ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-#: A part of letters, then marks: for these characters every Unicode version has one class, so it's two pre-tokens.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+#: Texts that are encoded whole: space at an end, two in a row or beside a line end, three line ends or two at the end, and all that some take for white space.
+ODD = r"^[ \n]| $|  |\n | \n|\n\n\n|\n\n$|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+#: Letters, then marks: for these characters every Unicode version has one class, so that's two pre-tokens.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Whole texts by which an encoder finds out, when it is loaded, whether its tokenizer parts texts as Encoder says.
+PROBES = [
+    "One two, three.", "it's we'll I'd 'tis o'clock.' 'S 's", "a1 1a 12 ab12cd 3,4.5; x:y", "é ÀÉ, ßü. naïve", "line one\nline two, end.\n\nthe 's\n", "x\n\n\ny z\n1", "!? ... --- ,., a.,b (c) [d]",
+    "日本 语。 नमस्ते ́a 𝄞 𝄞b", "a_b __c__ d-e", ". , a .b", "\u200d x", "w" * 300 + " w", "'re're 'Ve a'm,'ll",
+]
 _encoders: dict[str, Encoder] = {}
 
 
-class Memo(dict):
-    """Asks for what it hasn't got, and keeps it."""
-
-    def __init__(self, ask):
-        super().__init__()
-        self.ask = ask
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = got = self.ask(key)
-        return got
-
-
 class Encoder:
     """The library's ids of whole texts.
 
-    The byte-level pre-tokenizer always parts a text before a space that stands between two characters that aren't
-    white space, and encodes the parts one by one. So texts without other white space than such spaces and line
-    ends inside words are encoded by parts, of which a worker remembers WORDS; others, and those with a special
-    token's text, are encoded whole. A part that isn't remembered is taken as letters and marks if it is plain; the
-    library's model encodes the letters, which are remembered too.
+    A byte-level pre-tokenizer parts a text before each space that stands between two characters that aren't white
+    space, and at line ends beside such. So texts without other white space are split there by Arrow. A part is
+    letters and marks, whose ids are those of the letters (by the library's model) and those of the marks, or it is
+    encoded by the library as it is. Each distinct one of a piece of the table is looked up once; a worker remembers
+    WORDS. Odd texts and those with a special token's text are encoded whole, and so is every text if the tokenizer,
+    when it is loaded, doesn't give the same for PROBES in both ways.
     """
 
     def __init__(self, path: str):
@@ -175,56 +199,124 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        pre = self.model.to_str()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.by_part = '"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true' in pre
-        self.kind = np.uint16 if self.model.get_vocab_size() <= 65536 else np.uint32
-        self.seen = Memo(self.part)
-        self.stems: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        wide = self.model.get_vocab_size() > 65536
+        self.kind, self.code = np.dtype(np.uint32 if wide else np.uint16), "I" if wide else "H"
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the byte-level alphabet: other bytes are written as U+0100 and on
         alphabet = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.space = alphabet[0x20]
-        self.line = self.whole(["\n"])[0].tobytes()
-
-    def part(self, w: str) -> bytes:
-        """The ids of a part that a space precedes. Single line ends between plain lines are tokens of their own."""
-        lines = [PLAIN.fullmatch(x) for x in w.split("\n")]
-        if not all(lines):
-            return self.whole([" " + w])[0].tobytes()
-        out, before = [], self.space
-        for m in lines:
-            stem, mark = m.groups()
-            word = before + stem.translate(self.letters)
-            if (ids := self.stems.get(word)) is None:
-                ids = self.stems[word] = np.array([t.id for t in self.model.model.tokenize(word)], self.kind).tobytes()
-            if (tail := self.marks.get(mark)) is None:
-                tail = self.marks[mark] = self.whole([mark])[0].tobytes()
-            out += [ids, tail, self.line]
-            before = ""
-        return b"".join(out[:-1])
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def odd(self, t: str) -> bool:
-        return not self.by_part or t[:1] in " \n" or t[-1:] == " " or "  " in t or "\n " in t or " \n" in t or ODD.search(t) is not None or any(s in t for s in self.special)
+        self.line, self.by_part = self.whole(["\n"])[0], True
+        self.forget()
+        probes = pa.array(PROBES * 2)
+        try:
+            self.by_part = self.encode_column(probes)[0].tobytes() == b"".join(self.whole(probes.to_pylist()))
+        except Exception:  # a model of another make, which can't encode letters by themselves
+            self.by_part = False
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}  # letters as the model takes them
+        self.other: dict[str, bytes] = {}  # other parts with what leads them, and marks
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def letters_ids(self, stems: list[str], lead: str) -> list[bytes]:
+        own, known, code, tokenize = self.space if lead else "", self.known, self.code, self.model.model.tokenize
+        stems = [own + s if s.isascii() else own + s.translate(self.letters) for s in stems]
+        found = list(map(known.get, stems))
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = known[stems[i]] = array(code, [t.id for t in tokenize(stems[i])]).tobytes()
+        return found
+
+    def other_ids(self, parts: list[str]) -> list[bytes]:
+        new = [p for p in parts if p not in self.other]
+        self.other.update(zip(new, self.whole(new), strict=True))
+        return list(map(self.other.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        for kept in (self.seen, self.stems, self.marks):
-            if len(kept) > WORDS:
-                kept.clear()
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and self.odd(t)]
-        for i, x in zip(whole, self.whole([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        rest = sorted({i for i, t in enumerate(texts) if t}.difference(whole))
-        split = [texts[i].split(" ") for i in rest]
-        heads, ids = self.whole([x[0] for x in split]), self.seen.__getitem__
-        for i, head, parts in zip(rest, heads, split, strict=True):
-            out[i] = np.concatenate([head, np.frombuffer(b"".join(map(ids, parts[1:])), self.kind)])
-        return out
+        ids, n = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if texts else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls), one after another, and how many each has."""
+        gc.disable()  # millions of small objects, none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > WORDS or len(self.other) > WORDS:
+            self.forget()
+        odd = pc.match_substring_regex(texts, ODD) if self.by_part else pa.array([True] * len(texts), pa.bool_())
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+        even = texts.filter(pa.array(~odd))
+        split = pc.split_pattern(pc.replace_substring(even, "\n", " "), " ")
+        first = np.asarray(split.offsets).astype(np.int64)  # each text's first part
+        part = split.flatten()
+        first -= first[0]
+        size = np.asarray(pc.binary_length(part)).astype(np.int64)
+        # what precedes each part: nothing, a space or a line end, one byte after the part before
+        data, at = text_bytes(even)
+        row = np.repeat(np.arange(len(even)), np.diff(first))
+        begin = np.cumsum(size) - size
+        begin += np.arange(len(size)) + (at[:-1] - begin[first[:-1]] - first[:-1])[row] if len(size) else 0
+        space = np.zeros(len(size), bool)
+        space[data[begin - 1] == 0x20] = True
+        head = np.zeros(len(size), bool)
+        head[first[:-1]] = True
+        space &= ~head
+        line = ~space & ~head
+        stem = pc.ascii_rtrim(part, MARKS)
+        marked = size - np.asarray(pc.binary_length(stem))
+        items: list[bytes] = [self.line]
+        item = np.zeros((3, len(size)), np.int32)  # a line end, letters, marks; -1: none
+        item[0][~line], item[2] = -1, -1
+        for lead, mine in ((" ", np.flatnonzero(space)), ("", np.flatnonzero(~space))):
+            letters = stem.take(pa.array(mine)).dictionary_encode()
+            fits = np.asarray(pc.match_substring_regex(letters.dictionary, PLAIN).to_numpy(zero_copy_only=False), bool)
+            index = np.asarray(letters.indices)
+            to = np.cumsum(fits) - 1 + len(items)
+            items += self.letters_ids(letters.dictionary.filter(pa.array(fits)).to_pylist(), lead)
+            good = fits[index]
+            item[1][mine[good]] = to[index[good]]
+            tail = mine[good & (marked[mine] > 0)]
+            marks = pa.array(_suffixes(part.take(pa.array(tail)), marked[tail]), pa.string()).dictionary_encode()
+            item[2][tail] = len(items) + np.asarray(marks.indices)
+            items += self.other_ids(marks.dictionary.to_pylist())
+            rest = mine[~good]
+            whole = part.take(pa.array(rest)).dictionary_encode()
+            item[1][rest] = len(items) + np.asarray(whole.indices)
+            items += self.other_ids([lead + p for p in whole.dictionary.to_pylist()])
+        found = len(items)
+        items += self.whole(texts.filter(pa.array(odd)).to_pylist())
+        length = np.append(np.fromiter(map(len, items), np.int32, len(items)) // self.kind.itemsize, np.int32(0))  # the last for -1
+        start = np.cumsum(length, dtype=np.int32) - length
+        each = np.add.reduceat(length[item].sum(0), first[:-1]) if len(even) else np.zeros(0, np.int64)
+        n = np.empty(len(texts), np.int64)
+        n[odd], n[~odd] = length[found:-1], each
+        if odd.any():
+            order = np.argsort(np.concatenate([np.repeat(np.flatnonzero(~odd), 3 * np.diff(first)), np.flatnonzero(odd)]), kind="stable")
+            flat = np.append(item.T.reshape(-1), np.arange(found, found + odd.sum(), dtype=np.int32))[order]
+        else:
+            flat = item.T.reshape(-1)
+        flat = flat[flat >= 0]
+        long = length[flat]
+        end = np.cumsum(long, dtype=np.int32)
+        pool = np.frombuffer(b"".join(items), self.kind)
+        return pool[np.repeat(start[flat] - (end - long), long) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)], n
+
+
+def _suffixes(column: pa.Array, n: np.ndarray) -> list[str]:
+    """The last n bytes, all ASCII, of each string."""
+    data, at = text_bytes(column)
+    raw = data.tobytes()
+    return [raw[z - k : z].decode() for z, k in zip(at[1:].tolist(), n.tolist(), strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -236,31 +328,47 @@ def encoder(path: str) -> Encoder:
 FILE = "part int, ids_before long, n_ids long, doc_id array<long>, start array<long>, dac binary"
 
 
+PIECE = 4_000_000
+
+
 def _write(path: str, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before, held = encoder(path), 0, 0
-        docs: list[int | None] = []
+        own, before, part = encoder(path), 0, 0
+        docs: list[pa.Array] = []
         parts: list[np.ndarray] = []
-        part = 0
+        sizes: list[np.ndarray] = []
 
         def file() -> pa.RecordBatch:
-            size = np.array([len(x) for x in parts])
-            row = {"part": [part], "ids_before": [before], "n_ids": [held], "doc_id": [docs], "start": [(np.cumsum(size) - size).tolist()], "dac": [Dac.write(np.concatenate(parts))]}
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
-
+            nonlocal before
+            size = np.concatenate(sizes)
+            row = {"part": [part], "ids_before": [before], "n_ids": [int(size.sum())], "dac": [Dac.write(np.concatenate(parts))]}
+            lists = {"doc_id": pa.concat_arrays(docs), "start": pa.array(np.cumsum(size) - size)}
+            before += row["n_ids"][0]
+            cols = {k: pa.array(row[k], t) for k, t in (("part", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()))}
+            cols |= {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in lists.items()}
+            for held in (docs, parts, sizes):
+                held.clear()
+            return pa.RecordBatch.from_arrays([*cols.values(), pa.array(row["dac"], pa.binary())], [*cols, "dac"])
+
+        held = 0
         for b in batches:
             if b.num_rows:
                 part = b.column("part")[0].as_py()
-            for lo, hi in pieces(b.column("text")):
-                ids = own.encode(b.column("text").slice(lo, hi - lo).to_pylist())
-                for d, x in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), ids, strict=True):
-                    docs.append(d)
-                    parts.append(np.append(x, END).astype(own.kind))
-                    held += len(x) + 1
+            for lo, hi in pieces(b.column("text"), PIECE):
+                ids, n = own.encode_column(b.column("text").slice(lo, hi - lo))
+                ids, n = np.insert(ids, np.cumsum(n), END), n + 1
+                doc, end = b.column("doc_id").slice(lo, hi - lo), np.cumsum(n)
+                row = first = 0
+                while row < len(n):  # a file ends with the document that fills it
+                    last = min(len(n), int(np.searchsorted(end, first + segment - held)) + 1)
+                    docs.append(doc.slice(row, last - row))
+                    sizes.append(n[row:last])
+                    parts.append(ids[first : end[last - 1]])
+                    held += int(end[last - 1]) - first
+                    row, first = last, int(end[last - 1])
                     if held >= segment:
                         yield file()
-                        docs, parts, before, held = [], [], before + held, 0
+                        held = 0
         if docs:
             yield file()
 
@@ -280,9 +388,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> None:
     """Writes the ids of docs, in ascending doc_id order, as DAC files in the container `out`."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_key(id_col).alias("key"), text.alias("text"))
-    df = df.repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", F.xxhash64("text"), "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    df = docs.select(quoted(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    first = F.asc_nulls_last("doc_id")
+    df = df.repartitionByRange(partitions(docs.sparkSession), first).sortWithinPartitions(first, F.xxhash64("text"), "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     df.mapInArrow(_write(path, segment), FILE).write.option("compression", "uncompressed").parquet(out)
 
 
@@ -302,6 +411,9 @@ def read(spark, out: str) -> DataFrame:
 
 
 def roundtrip(docs: DataFrame, path: str, out: str | None = None, **kw) -> DataFrame:
-    out = out or new_path(docs.sparkSession, "dac")
+    spark, own = docs.sparkSession, out is None
+    out = out or new_path(spark, "dac")
     write(docs, path, out, **kw)
-    return read(docs.sparkSession, out)
+    if own:
+        temporary(spark, out)
+    return read(spark, out)

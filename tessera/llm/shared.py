@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: A null doc_id counts as this one: larger than every other.
 NULL_ID = 2**63 - 1
-#: Where intermediate tables go if the session names no shared folder (tests only).
+#: Where intermediate tables go on a local master that names no shared folder, as in tests.
 OWN_FOLDER = "/tmp/checkpoints"
 
 WORD_GAP = np.zeros(256, bool)
@@ -19,25 +19,54 @@ WORD_GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or OWN_FOLDER where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or OWN_FOLDER).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """The folder, which must be there, goes when the session's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    temporary(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*map(quoted, df.columns))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Of all columns that Spark can hash (maps and variants aren't among them)."""
+    return F.xxhash64(F.lit(0), *(quoted(f.name) for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))))
+
+
+def text_size(docs: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(quoted(text_col).cast("string")))).head()[0] or 0
+
+
 def id_key(doc_id: Column | str) -> Column:
     return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(NULL_ID)).cast("long")
 

@@ -1,5 +1,6 @@
 """Ops 2 and 3 against the libraries on whole texts; the codes by round trip."""
 
+import os
 import random
 import zlib
 
@@ -34,6 +35,46 @@ def test_encoder():
     assert [x.tolist() for x in got] == want
 
 
+def test_encoder_without_parts():
+    """Where the probes differ, texts are encoded whole; that gives the same."""
+    own = dac.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.by_part
+    own.by_part = False
+    texts = odd_texts()[:300]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in TK.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_over_a_whole_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    own = dac.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for lo in range(0, len(texts), 2500):
+        part = texts[lo : lo + 2500]
+        assert [x.tolist() for x in own.encode(part)] == [e.ids for e in TK.encode_batch(part, add_special_tokens=False)]
+
+
+def test_other_tokenizers_are_parted_or_encoded_whole():
+    for name in sorted(os.listdir(os.path.dirname(public_tokenizers.path("byte_bpe_50k.json")))):
+        if name.endswith(".json"):
+            path = public_tokenizers.path(name)
+            try:
+                want = Tokenizer.from_file(path)
+            except Exception:  # another kind of file
+                continue
+            texts = odd_texts()[:400]
+            assert [x.tolist() for x in dac.Encoder(path).encode(texts)] == [e.ids for e in want.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 8, 9, 13, 16, 24, 25, 31, 32])
+def test_packing(width):
+    rng = np.random.default_rng(width)
+    for n in (0, 1, 7, 8, 9, 1000, (1 << 18) + 3):
+        v = rng.integers(0, 1 << width, n).astype(np.uint32)
+        raw = np.frombuffer(dac.pack(v, width), np.uint8)
+        assert len(raw) == -(-n * width // 8) and (dac.unpack_all(raw, width, n) == v).all()
+        bits = np.unpackbits(v.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :].reshape(-1)
+        assert raw.tobytes() == np.packbits(bits).tobytes()
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000, 300001])
 def test_codes(n):
     rng = np.random.default_rng(n)
