@@ -3,31 +3,37 @@
 Token weights are added up by (source, language, topic). Values that the targets don't name are one value, OTHER,
 so there are at most (sources + 1) * (languages + 1) * (topics + 1) cells, by the caller's own lists, and only cells
 come to the driver. Raking scales the cells to each marginal in turn until all marginals fit; a target's weight
-for values that have no tokens is left out and the rest scaled up. A document's probability is its cell's raked
+for values that have no tokens is left out and the rest scaled up. Where the cells can't meet all
+targets together (a source with one language only, say), the weights are those after ROUNDS, which meet the last list;
+`residual`, the largest distance of a marginal from its target, and a warning say so. A document's probability is its cell's raked
 weight over its tokens, scaled so that the largest is `top`; a document stays if a hash of its doc_id and text,
 as a number in [0, 1), is below it. So equal inputs give equal samples, wherever and in whatever order they run.
 
 A topic has as its score the number of the text's terms whose hash's residue it is; the topic of the highest score is
 the document's, the first by name of those that tie. Terms are all words of TERM's length, or all words at all in a text
 without such, in small letters, as often as they occur. That is a stand-in that needs no model; `topic` takes any other
-column expression. `opening_topic` reads the first long word only; the pipeline has it as long as its test asks for it.
+column expression.
 
 Defined results. Null or empty text: no tokens, probability of its cell, or `top` if its cell has no tokens. Null
-source or language: OTHER. Repeated rows share their fate. Empty table: empty result. Other columns are kept.
+source or language: OTHER. Repeated rows share their fate, as do all rows of one doc_id and text; null doc_ids too.
+A very long text is read once, in the JVM; its weight counts in full. Empty table: empty result. Other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let, words_of
-from .shared import NULL_ID
+from .shared import quoted, whole_row
 
 OTHER = "(other)"
 SEED = 7
-ROUNDS = 500
+ROUNDS = 5000
 TOLERANCE = 1e-10
 #: Targets of the query and the pipeline: the large source at a tenth, other sources even; languages and topics even.
 SOURCES = {"src0": 0.1} | {f"src{i}": 0.9 / 19 for i in range(1, 20)}
@@ -35,7 +41,6 @@ LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPICS = {str(i): 0.25 for i in range(4)}
 
 
-LONG_WORD = r"[^\x20\x09-\x0D]{12,}"
 TERM = r"[\p{L}\p{M}\p{N}]{8,}"
 ANY_TERM = r"[\p{L}\p{M}\p{N}]+"
 
@@ -61,15 +66,16 @@ def topic_of(text: Column, n: int = 4) -> Column:
     return let(votes, winner)
 
 
-def opening_topic(text: Column, n: int = 4) -> Column:
-    return F.pmod(F.crc32(F.regexp_extract(F.coalesce(text, F.lit("")), LONG_WORD, 0).cast("binary")), F.lit(n)).cast("string")
-
-
 def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -> dict[tuple[str, ...], float]:
     """Weights of the cells, in sum 1, whose marginals are the targets as far as the cells allow."""
+    return raked(cells, targets)[0]
+
+
+def raked(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -> tuple[dict[tuple[str, ...], float], float]:
+    """The weights, and how far the marginal that fits worst is from its target."""
     keys = sorted(k for k, w in cells.items() if w > 0)
     if not keys:
-        return {}
+        return {}, 0.0
     x = np.array([cells[k] for k in keys], float)
     x /= x.sum()
     dims = []
@@ -84,46 +90,50 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -
         if goal.sum() <= 0:
             raise ValueError("a target names no value that has tokens")
         dims.append((np.array([names.index(k[d]) for k in keys]), goal / goal.sum()))
+    apart = 0.0
     for _ in range(ROUNDS):
         for at, goal in dims:
             now = np.bincount(at, x, len(goal))
             x *= np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)[at]
         if x.sum() <= 0:
             raise ValueError("the targets leave no cell")
-        if max(np.abs(np.bincount(at, x, len(goal)) - goal).max() for at, goal in dims) < TOLERANCE:
+        apart = float(max(np.abs(np.bincount(at, x, len(goal)) - goal).max() for at, goal in dims))
+        if apart < TOLERANCE:
             break
-    return dict(zip(keys, (x / x.sum()).tolist(), strict=True))
+    return dict(zip(keys, (x / x.sum()).tolist(), strict=True)), apart
 
 
-def probabilities(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], top: float = 1.0) -> dict[tuple[str, ...], float]:
-    raked = rake(cells, targets)
-    ratio = {k: w / cells[k] for k, w in raked.items()}
+def probabilities(cells: dict[tuple[str, ...], float], weights: dict[tuple[str, ...], float], top: float = 1.0) -> dict[tuple[str, ...], float]:
+    ratio = {k: w / cells[k] for k, w in weights.items()}
     most = max(ratio.values(), default=1.0)
     return {k: top * ratio.get(k, most) / most for k in cells}
 
 
 def calibrated(docs: DataFrame, sources: dict[str, float] = SOURCES, languages: dict[str, float] = LANGUAGES, topics: dict[str, float] = TOPICS, top: float = 1.0, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(row, n_tokens, topic, probability, sampled); row is the row of docs."""
+    """(row, n_tokens, topic, probability, sampled, residual); row is the row of docs, residual that of the raking."""
 
     def named(c: Column, target: dict[str, float]) -> Column:
         return F.when(c.isin(list(target)), c).otherwise(OTHER)
 
-    text = F.col(text_col)
+    text = quoted(text_col)
     df = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        named(F.col(source_col), sources).alias("_s"),
-        named(F.col(lang_col), languages).alias("_l"),
+        whole_row(docs).alias("row"),
+        named(quoted(source_col), sources).alias("_s"),
+        named(quoted(lang_col), languages).alias("_l"),
         named(topic_of(text) if topic is None else topic, topics).alias("topic"),
         tokens_of(text).alias("n_tokens"),
-        F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(text, F.lit("")), F.lit(SEED)).alias("_h"),
+        F.xxhash64(quoted(id_col).cast("long"), F.coalesce(text, F.lit("")), F.lit(SEED)).alias("_h"),
     )
     cells = {tuple(r[:3]): float(r[3]) for r in df.groupBy("_s", "_l", "topic").agg(F.sum("n_tokens")).collect()}
-    found = probabilities(cells, [sources, languages, topics], top)
+    weights, apart = raked(cells, [sources, languages, topics])
+    if apart >= TOLERANCE:
+        warnings.warn(f"after {ROUNDS} rounds a marginal is {apart:.3g} from its target: the cells can't meet all targets together", stacklevel=2)
+    found = probabilities(cells, weights, top)
     names = [(f"{s}\x00{a}\x00{t}", p) for (s, a, t), p in found.items()]
     table = docs.sparkSession.createDataFrame(names, "_cell string, probability double")  # as many rows as cells
     df = df.withColumn("_cell", F.concat_ws("\x00", "_s", "_l", "topic")).join(F.broadcast(table), "_cell", "left")
     draw = F.shiftrightunsigned("_h", 11).cast("double") / F.lit(float(2**53))
-    return df.select("row", "n_tokens", "topic", "probability", (draw < F.col("probability")).alias("sampled"))
+    return df.select("row", "n_tokens", "topic", "probability", (draw < F.col("probability")).alias("sampled"), F.lit(apart).alias("residual"))
 
 
 def sample(docs: DataFrame, **kw) -> DataFrame:

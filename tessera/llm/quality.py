@@ -1,17 +1,23 @@
 """Op 8, quality rules: fixed base rules, then limits that adapt to each language and source. DataFrame functions only.
 
-Three shares (of symbols, of capitals and exclamation marks, of repeated lines; per 10,000) get a limit for each
-(lang, source): third quartile + REACH * max(interquartile range, least spread). The quartiles come from a
-mergeable sketch with bins that double in width after every 64 (exact up to 127, within 1/64 above): counts by
-(lang, source, share, bin) add up in any order, on the map side first, so the limits don't depend on partitions
-and a hot source is a few hundred rows. All documents are counted, also those that the base rules reject.
+Each text is read once: its measures are a written table, from which limits and verdicts come. Three shares (of
+symbols, of capitals and exclamation marks, of repeated lines; per 10,000) get a limit for each (lang, source): third
+quartile + REACH * max(interquartile range, least spread). The quartiles come from a mergeable sketch with bins that
+double in width after every 64 (exact up to 127, within 1/64 above): counts by (lang, source, share, bin) add up in any
+order, on the map side first, so the limits don't depend on partitions and a hot source is a few hundred rows. All
+documents are counted, also those that the base rules reject.
+
+Sketches merge upwards, from source to language to corpus. A group of fewer than LEAST_GROUP documents takes its
+language's limit, a language of fewer the corpus's; and no limit is above WIDER times that of the level above, so a
+group that is mostly junk doesn't set its own limit at its junk.
 
 The limits join the documents by (lang, source), nulls equal. They are broadcast once they are counted and are
 BROADCAST_ROWS at most; with more groups the join is left to Spark.
 
 Defined results. Null or empty text: no words, base_failed. Null lang or source: a group like any other. A document
-with a share equal to its limit is kept. Repeated rows count and are judged each. Empty table: empty result. Extra
-columns are kept in a struct and can't clash.
+with a share equal to its limit is kept. Repeated rows count and are judged each. A very long text is measured in
+whole; words and window hashes are arrays of one row. Empty table: empty result. Extra columns, whatever their names,
+are kept in a struct and can't clash.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import quoted, stored, whole_row
 
 GAP = r"[\x20\x09-\x0D]+"
 GAPS = " \t\n\x0b\x0c\r"
@@ -29,6 +35,8 @@ MOST_REPEATED = 30
 #: share -> its least spread, per 10,000
 SHARES = {"symbols": 50, "shouts": 100, "lines": 500}
 REACH = 8
+LEAST_GROUP = 40
+WIDER = 2
 BROADCAST_ROWS = 100_000
 
 
@@ -85,35 +93,54 @@ def shares(df: DataFrame, text: str = "_text") -> DataFrame:
     return df.withColumns({"symbols": part("n_symbols", "word_chars"), "shouts": part("_shouts", "word_chars"), "lines": part("n_dup_lines", "_n_lines")}).drop("_lines", "_shouts", "_n_lines")
 
 
-def limits(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(row, _lang, _source, MEASURES, SHARES), a written table; row has the columns `keep` of docs, or all."""
+    df = docs.select(whole_row(docs.select(*map(quoted, keep)) if keep else docs).alias("row"), quoted(lang_col).alias("_lang"), quoted(source_col).alias("_source"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("_text"))
+    df = shares(df).withColumn("_words", words_of(F.col("_text"))).withColumn("n_words", F.size("_words").cast("long"))
+    df = df.withColumn("n_repeat_words", repeated_words(F.col("_words"))).drop("_words", "_text")
+    df = df.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
+    return stored(df.select("row", "_lang", "_source", *MEASURES, *SHARES), "quality-measures")
+
+
+def limits(measures: DataFrame) -> DataFrame:
     """(_lang, _source, and a limit for each share) from the sketches, as a written table."""
-    df = shares(docs.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
     bin_of = "case when x < 128 then x else x - pmod(x, shiftleft(1L, length(bin(x)) - 7)) end"
-    each = df.select("_lang", "_source", F.explode(F.create_map(*[y for s in SHARES for y in (F.lit(s), F.col(s))])).alias("share", "x"))
-    sketch = each.selectExpr("_lang", "_source", "share", f"{bin_of} as bin").groupBy("_lang", "_source", "share", "bin").agg(F.count("*").alias("n"))
-    merged = sketch.groupBy("_lang", "_source", "share").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
+    each = measures.select("_lang", "_source", F.explode(F.create_map(*[y for s in SHARES for y in (F.lit(s), F.col(s))])).alias("share", "x"))
+    sketch = stored(each.selectExpr("_lang", "_source", "share", f"{bin_of} as bin").groupBy("_lang", "_source", "share", "bin").agg(F.count("*").alias("n")), "quality-sketch")
 
     def quantile(k: int) -> str:  # the bin of rank ceil(k / 4 * total)
         return f"aggregate(bins, struct(0L as seen, cast(null as bigint) as at), (a, b) -> struct(a.seen + b.n as seen, case when a.at is null and 4 * (a.seen + b.n) >= {k} * total then b.bin else a.at end as at), a -> a.at)"
 
     spread = "case share " + " ".join(f"when '{s}' then {n}" for s, n in SHARES.items()) + " end"
-    fences = merged.selectExpr("_lang", "_source", "share", f"{quantile(1)} as q1", f"{quantile(3)} as q3").selectExpr("_lang", "_source", "share", f"q3 + {REACH} * greatest(q3 - q1, {spread}) as most")
-    return stored(fences.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("share") == s, F.col("most"))).alias(f"most_{s}") for s in SHARES]), "quality-limits")
+
+    def fences(level: list[str], name: str) -> DataFrame:
+        merged = sketch.groupBy(*level, "share", "bin").agg(F.sum("n").alias("n")) if len(level) < 2 else sketch
+        merged = merged.groupBy(*level, "share").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
+        return merged.selectExpr(*level, "share", "total", f"{quantile(1)} as q1", f"{quantile(3)} as q3").selectExpr(*level, "share", f"total as total_{name}", f"q3 + {REACH} * greatest(q3 - q1, {spread}) as most_{name}")
+
+    def narrowed(name: str, above: str) -> str:
+        return f"case when total_{name} >= {LEAST_GROUP} then least(most_{name}, {WIDER} * {above}) else {above} end"
+
+    own, lang, all_ = fences(["_lang", "_source"], "own"), fences(["_lang"], "lang"), fences([], "all")
+    lang = lang.join(all_, "share").selectExpr("_lang as _l", "share as _share", f"{narrowed('lang', 'most_all')} as above")
+    own = own.join(lang, own["_lang"].eqNullSafe(lang["_l"]) & (own["share"] == lang["_share"])).selectExpr("_lang", "_source", "share", f"{narrowed('own', 'above')} as most")
+    return stored(own.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("share") == s, F.col("most"))).alias(f"most_{s}") for s in SHARES]), "quality-limits")
 
 
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept); row is the row of docs."""
-    most = limits(docs, text_col, lang_col, source_col)
+def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept); row has the columns `keep` of docs, or all."""
+    df = measured(docs, text_col, lang_col, source_col, keep)
+    most = limits(df)
     most = F.broadcast(most) if most.count() <= BROADCAST_ROWS else most
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = shares(df).withColumn("_words", words_of(F.col("_text"))).withColumn("n_words", F.size("_words").cast("long"))
-    df = df.withColumn("n_repeat_words", repeated_words(F.col("_words"))).drop("_words", "_text")
-    df = df.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
-    df = df.join(most, df["_l"].eqNullSafe(most["_lang"]) & df["_s"].eqNullSafe(most["_source"]), "left")
+    most = most.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+    df = df.join(most, df["_lang"].eqNullSafe(most["_l"]) & df["_source"].eqNullSafe(most["_s"]), "left")
     kept = ~F.col("base_failed")
     for s in SHARES:
         kept &= F.col(s) <= F.col(f"most_{s}")
-    return df.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"))
+    return df.select("row", *MEASURES, F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def clean(docs: DataFrame, **kw) -> DataFrame:
@@ -142,17 +169,27 @@ x as (
   select lang, source, 'symbols' share, symbols x, 50 spread from s
   union all select lang, source, 'shouts', shouts, 100 from s
   union all select lang, source, 'lines', lines, 500 from s),
+v as (
+  select lang, source, share, spread, case when x < 128 then x else x - x % (1::bigint << (length(bin(x)) - 7)::bigint) end bin from x),
 b as (
-  select lang, source, share, spread, case when x < 128 then x else x - x % (1::bigint << (length(bin(x)) - 7)::bigint) end bin, count(*) n
-  from x group by all),
+  select 0 level, lang, source, share, spread, bin, count(*) n from v group by all
+  union all select 1, lang, null, share, spread, bin, count(*) from v group by all
+  union all select 2, null, null, share, spread, bin, count(*) from v group by all),
 c as (
-  select *, sum(n) over (partition by lang, source, share order by bin) seen, sum(n) over (partition by lang, source, share) total from b),
+  select *, sum(n) over (partition by level, lang, source, share order by bin) seen, sum(n) over (partition by level, lang, source, share) total from b),
 q as (
-  select lang, source, share, spread, min(bin) filter (4 * seen >= total) q1, min(bin) filter (4 * seen >= 3 * total) q3
+  select level, lang, source, share, spread, total, min(bin) filter (4 * seen >= total) q1, min(bin) filter (4 * seen >= 3 * total) q3
   from c group by all),
+f as (select level, lang, source, share, total, q3 + {REACH} * greatest(q3 - q1, spread) most from q),
+l1 as (
+  select a.lang, a.share, case when a.total >= {LEAST_GROUP} then least(a.most, {WIDER} * z.most) else z.most end above
+  from f a join f z on a.level = 1 and z.level = 2 and a.share = z.share),
+l0 as (
+  select a.lang, a.source, a.share, case when a.total >= {LEAST_GROUP} then least(a.most, {WIDER} * above) else above end most
+  from f a join l1 on a.level = 0 and a.lang is not distinct from l1.lang and a.share = l1.share),
 lim as (
   select lang, source, max(most) filter (share = 'symbols') ms, max(most) filter (share = 'shouts') mh, max(most) filter (share = 'lines') ml
-  from (select lang, source, share, q3 + 8 * greatest(q3 - q1, spread) most from q) group by all),
+  from l0 group by all),
 p as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from base),
 g as (
   select doc_id, i, list(w) over (partition by doc_id order by i rows between current row and 7 following) g from p),

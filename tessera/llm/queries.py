@@ -64,12 +64,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.calibrated(table(spark, sf_dir, "documents"))
-    return found.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "probability", "sampled")
+    return found.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "probability", "sampled", "residual")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality.judged(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

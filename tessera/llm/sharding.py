@@ -12,8 +12,9 @@ shard at most, are read more finely until the bounds meet. With that capacity, e
 those that leave every shard within it.
 
 Defined results. Size: UTF-8 bytes (null: none) plus OVERHEAD. Null and empty text are one group. Repeated rows are
-of one group. Null doc_id: last in its group. Fewer groups than shards: the others are empty. Extra columns aren't
-read. Empty table: empty result.
+of one group, in any order. Null doc_id: last in its group. A very long text is only measured and hashed; one longer
+than an even share is a shard that sets the capacity. Fewer groups than shards: the others are empty. Extra columns,
+whatever their names, aren't read. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_key, partitions, stored
+from .shared import partitions, quoted, stored
 
 SHARDS = 40
 OVERHEAD = 16
@@ -147,10 +148,11 @@ def cut_points(groups: DataFrame, total: int, shards: int, points: int = POINTS,
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", points: int = POINTS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot)."""
     n = partitions(docs.sparkSession)
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("crc"), F.xxhash64(raw).alias("h"), id_key(id_col).alias("key"))
-    df = df.repartitionByRange(n, "h", "crc", "key").sortWithinPartitions("h", "crc", "key").withColumn("part", F.spark_partition_id().cast("long"))
-    rows = stored(df.mapInArrow(_sums, "doc_id long, size long, crc long, h long, key long, part long, sum long, at long"), "sharding-rows")
+    raw = F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary")
+    df = docs.select(quoted(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("crc"), F.xxhash64(raw).alias("h"))
+    by = ("h", "crc", F.asc_nulls_last("doc_id"))
+    df = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id().cast("long"))
+    rows = stored(df.mapInArrow(_sums, "doc_id long, size long, crc long, h long, part long, sum long, at long"), "sharding-rows")
     parts = {r.part: (r.n, r.bytes) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.max("sum").alias("bytes")).collect()}
     if not parts:
         return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))

@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A null doc_id counts as this one: larger than every other.
-NULL_ID = 2**63 - 1
 #: Where intermediate tables go on a local master that names no shared folder, as in tests.
 OWN_FOLDER = "/tmp/checkpoints"
 
@@ -67,10 +65,6 @@ def text_size(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(quoted(text_col).cast("string")))).head()[0] or 0
 
 
-def id_key(doc_id: Column | str) -> Column:
-    return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(NULL_ID)).cast("long")
-
-
 def home(key: Column, n: int) -> Column:
     """The partition, of n, of a row key; `homes` is the same in numpy."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -1,29 +1,36 @@
-"""Op 1, substring dedup: Rabin-Karp hashes of every window of 13 words, compared across the corpus.
+"""Op 1, substring dedup: Rabin-Karp hashes of every window of 13 words, counted across the corpus.
 
 A word goes if a window covers it whose words also begin somewhere in a document with a smaller doc_id.
 
-1. Per input partition, blocks of about 4 million windows: words and windows are hashed in numpy (prefix sums of a
-   polynomial modulo 2^64). Within a block, of the documents that share a window only the one of smallest doc_id
-   goes on; the others' windows are found out already (the map side's share of the count).
-2. What is left is dealt by the hash's top bits as packed bytes, about 8.5 a window: 56 more bits of the hash, and
-   document and position as gaps. A task gets its hash range from all blocks, finds the smallest doc_id of each
-   repeated hash, and reports the windows of larger ones to their documents' partitions. A window that is common
-   to a third of all documents is one entry per block, so no key is hot.
-3. Texts and reports meet by doc_id; windows merge into maximal intervals, which are cut out.
+1. Per input partition, blocks of about 4 million windows. A word's value is its BLAKE2b digest; a window's hash is
+   the polynomial of its words' values, modulo 2^61 - 1 and again modulo 2^31 - 1, under bases and a digest key drawn
+   anew for each run. Within a block, of the documents that share a window only the one of smallest doc_id goes on;
+   the others' windows are found out already (the map side's share of the count).
+2. What is left is dealt by hash range as packed bytes, about 10.5 a window: 72 bits of the hashes, and document and
+   position as gaps. A task gets its range from all blocks, counts it in slices of PASS windows, finds the smallest
+   doc_id of each repeated hash, and reports the windows of larger ones to their documents' partitions. A window that
+   is common to a third of all documents is one entry a block, so no key is hot.
+3. Texts and reports meet by doc_id, in STEPS parts a partition; windows merge into maximal intervals, which are cut out.
 
-Hash range and 56 bits together identify a window by 56 + log2(partitions) bits. Two different windows among N
-are then expected to be taken for the same N^2 / 2^(57 + log2(partitions)) times: about 10^-2 over 135 million
-windows in 50 partitions. `digest_bytes=8` sends all 64 bits and `digest_bytes=11` 24 bits of a second hash too.
+72 bits and the hash range identify a window: with log2(partitions) that is 77 bits or more, so two different windows
+among N are expected to be taken for the same N^2 / 2^78 times: about 10^-7 over 135 million windows. The polynomials
+are modulo primes and the words' values are digests under a secret key, so no text is made to collide.
+
+Rows packed by hash range take the place of one Spark row a window, which doesn't fit the disk limit (see README).
 
 Defined results. Null or empty text: no words, kept text empty. Fewer than 13 words: nothing goes. Null doc_id:
 larger than every other, equal to each other null. Rows with one doc_id: none is smaller than the other; a report
-carries 16 bits of its window's hash, so that another row's text under the same doc_id doesn't take it. Extra
-columns aren't read. Empty table: empty result.
+carries 64 bits of its window's hash, so that another row's text under the same doc_id doesn't take it. A very long
+text is read in pieces of PIECE bytes; the task that cuts it holds it and 24 bytes a word. Extra columns aren't read.
+Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import random
+import re
 import struct
 from collections.abc import Iterator
 
@@ -33,51 +40,134 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, home, homes, id_key, partitions, pieces, text_bytes, word_bounds
+from .shared import home, homes, partitions, pieces, quoted, text_size
 
 WINDOW = 13
 BLOCK = 4_000_000
-#: Odd multipliers of the two polynomials.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-SCHEMA = "part int, kind int, a binary, b binary"
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i up to n."""
-    if base not in _tables or len(_tables[base][0]) <= n:
-        size = max(n + 1, 2_100_000)
-        rise, fall = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
-        rise[0] = fall[0] = 1
-        _tables[base] = np.cumprod(rise), np.cumprod(fall)
-    return _tables[base]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Of each range of values the sum of values[i] * base^(i - start), mixed."""
-    rise, fall = powers(base, len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * rise[: len(values)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * fall[starts])
-
-
-def window_hashes(data: np.ndarray, at: np.ndarray, window: int = WINDOW, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, position in the row's words) of every window, and each row's number of words."""
-    starts, ends, first = word_bounds(data, at)
-    n = np.diff(first)
+#: Windows whose hashes are compared at once.
+PASS = 8_000_000
+#: Bytes of text whose words are hashed at once.
+PIECE = 2_000_000
+#: Parts of a partition in which texts and reports meet.
+STEPS = 4
+#: Bytes of text a partition has at most, on average.
+SHARE = 256_000_000
+WORDS = 1_000_000
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+P61, P31 = np.uint64(2**61 - 1), np.uint64(2**31 - 1)
+SCHEMA = "part int, step int, kind int, a binary, b binary"
+
+_memo: dict[bytes, Words] = {}
+
+
+class Key:
+    """What one run draws: the digests' key and the polynomials' bases."""
+
+    def __init__(self):
+        draw = random.SystemRandom()
+        self.digest, self.base61, self.base31 = os.urandom(16), draw.randrange(2**32, 2**61 - 2), draw.randrange(2**16, 2**31 - 2)
+
+
+class Words(dict):
+    """A word's value, 16 bytes; a worker remembers WORDS words."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > WORDS:
+            self.clear()
+        self[word] = got = hashlib.blake2b(word, digest_size=16, key=self.key).digest()
+        return got
+
+
+def times61(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of factors below that, by halves of 31 bits."""
+    hi, lo, b1, b0 = a >> np.uint64(31), a & P31, np.uint64(b >> 31), np.uint64(b & (2**31 - 1))
+    mid = hi * b0 + lo * b1
+    total = np.uint64(2) * hi * b1 + (mid >> np.uint64(30)) + ((mid & np.uint64(2**30 - 1)) << np.uint64(31)) + lo * b0
+    return fold61(total)
+
+
+def fold61(x: np.ndarray) -> np.ndarray:
+    x = (x & P61) + (x >> np.uint64(61))
+    return np.where(x >= P61, x - P61, x)
+
+
+def fold31(x: np.ndarray) -> np.ndarray:
+    x = (x & P31) + (x >> np.uint64(31))
+    x = (x & P31) + (x >> np.uint64(31))
+    return np.where(x >= P31, x - P31, x)
+
+
+def polynomial(values: np.ndarray, window: int, base: int, prime: int, times, fold) -> np.ndarray:
+    """sum of values[i + k] * base^(window - 1 - k) modulo prime, for each i, by doubling the length."""
+    out, have = None, 0  # of the windows' first `have` values
+    double, length = values, 1
+    rest = window
+    while True:
+        if rest & 1:
+            if out is None:
+                out, have = double, length
+            else:
+                n = len(values) - have - length + 1
+                out, have = fold(times(double[: max(n, 0)], pow(base, have, prime)) + out[length : length + max(n, 0)]), have + length
+        rest >>= 1
+        if not rest:
+            return out
+        n = max(len(double) - length, 0)
+        double, length = fold(times(double[:n], pow(base, length, prime)) + double[length : length + n]), 2 * length
+
+
+def window_hashes(texts: list[bytes], key: Key, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, row, position in the row's words) of every window, and each row's number of words.
+
+    The first has 64 bits: 61 of one polynomial and 3 of the other; the second has the other's 28 further bits.
+    """
+    if key.digest not in _memo:
+        _memo.clear()
+        _memo[key.digest] = Words(key.digest)
+    value = _memo[key.digest].__getitem__
+    n, found = [], []
+    for t in texts:
+        count = 0
+        for words in split(t):
+            count += len(words)
+            found.append(b"".join(map(value, words)))
+        n.append(count)
+    n = np.array(n, np.int64)
+    both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
     each = np.maximum(n - window + 1, 0)
     row = np.repeat(np.arange(len(n)), each)
     pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    words = polynomial(data.astype(np.uint64) + np.uint64(1), starts, ends, base)
-    begin = first[row] + pos
-    return polynomial(words, begin, begin + window, base), row, pos, n
+    begin = (np.cumsum(n) - n)[row] + pos
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), row, pos, n
+    h = polynomial(fold61(both[:, 0]), window, key.base61, int(P61), times61, fold61)[begin]
+    g = polynomial(fold31(both[:, 1]), window, key.base31, int(P31), lambda a, b: fold31(a * np.uint64(b)), fold31)[begin]
+    return h | (g << np.uint64(61)), g >> np.uint64(3), row, pos, n
+
+
+def split(text: bytes) -> Iterator[list[bytes]]:
+    """The words, those of a long text in several lists."""
+    at = 0
+    while len(text) - at > PIECE:
+        words = text[at : at + PIECE].split()
+        if text[at + PIECE - 1 : at + PIECE].isspace() or text[at + PIECE : at + PIECE + 1].isspace() or not words:
+            yield words
+            at += PIECE
+            continue
+        tail = len(words[-1])  # may go on
+        if tail == PIECE:  # one word fills the piece
+            gap = GAP.search(text, at + PIECE)
+            end = gap.start() if gap else len(text)
+            yield [text[at:end]]
+            at = end
+            continue
+        yield words[:-1]
+        at += PIECE - tail
+    yield text[at:].split()
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -114,85 +204,95 @@ def ungapped(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return total - np.repeat(np.where(begin > 0, total[begin - 1], 0), counts)
 
 
-def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(*sorted_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values begins, and how long it is."""
-    begin = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
-    return begin, np.diff(np.append(begin, len(sorted_values)))
-
-
-def repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the hash also occurs under a smaller doc."""
+    n = len(sorted_columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(n, bool)
+    edge[0] = True
+    for c in sorted_columns:
+        edge[1:] |= c[1:] != c[:-1]
+    begin = np.flatnonzero(edge)
+    return begin, np.diff(np.append(begin, n))
+
+
+def repeated(h: np.ndarray, second: np.ndarray, doc: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Whether the hash also occurs under a smaller doc; a null one (whose doc is no id) is larger than all others."""
     order = np.argsort(h)
     begin, size = runs(h[order])
     multi = size > 1
     out = np.zeros(len(h), bool)
     if multi.any():
         at = order[np.repeat(multi, size)]
-        size = size[multi]
-        begin = np.cumsum(size) - size
-        out[at] = doc[at] > np.repeat(np.minimum.reduceat(doc[at], begin), size)
+        at = at[np.lexsort((second[at], h[at]))]  # equal first hashes are few
+        begin, size = runs(h[at], second[at])
+        least = np.minimum.reduceat(np.where(null[at], np.iinfo(np.int64).max, doc[at]), begin)
+        named = np.logical_or.reduceat(~null[at], begin)
+        out[at] = np.where(null[at], np.repeat(named, size), doc[at] > np.repeat(least, size))
     return out
 
 
-def reports(doc: np.ndarray, pos: np.ndarray, check: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    """Per target partition: documents with their counts, positions and 16 bits of the hashes."""
-    target = homes(doc, n)
-    order = np.lexsort((pos, doc, target))
-    doc, pos, check, target = doc[order], pos[order], check[order], target[order]
+def reports(doc: np.ndarray, null: np.ndarray, pos: np.ndarray, check: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """Per target partition and step: documents with their counts, positions and hashes."""
+    target = homes(doc, n * STEPS)
+    order = np.lexsort((pos, doc, null, target))
+    doc, null, pos, check, target = doc[order], null[order], pos[order], check[order], target[order]
     for lo, size in zip(*runs(target), strict=True):
-        d, p = doc[lo : lo + size], pos[lo : lo + size]
-        begin, count = runs(d)
-        yield int(target[lo]), packed(np.diff(d[begin], prepend=0), count, gaps(d, p), check[lo : lo + size].astype(np.int64))
-
-
-def _map(n: int, window: int, digest_bytes: int):
-    def flush(ids: np.ndarray, got: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes, bytes]]:
-        h, row, pos, second = (np.concatenate([g[k] for g in got]) for k in range(4))
-        found = repeated(h, ids[row])
-        for t, blob in reports(ids[row[found]], pos[found], h[found] & np.uint64(0xFFFF), n):
-            yield t, 1, blob, b""
+        d, z, p = doc[lo : lo + size], null[lo : lo + size], pos[lo : lo + size]
+        begin, count = runs(d, z)
+        step = np.repeat(np.arange(len(begin)), count)
+        yield *divmod(int(target[lo]), STEPS), packed(np.diff(d[begin], prepend=0), z[begin], count, gaps(step, p), check[lo : lo + size].view(np.int64))
+
+
+def _map(n: int, window: int, digest_bytes: int, key: Key):
+    def flush(ids: np.ndarray, null: np.ndarray, got: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+        h, second, row, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
+        found = repeated(h, second, ids[row], null[row])
+        for t, step, blob in reports(ids[row[found]], null[row[found]], pos[found], h[found], n):
+            yield t, step, 1, blob, b""
         left = ~found
-        h, row, pos = h[left], row[left], pos[left]
-        second = second[left] if len(second) else second
-        bucket = ((h >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
+        h, second, row, pos = h[left], second[left], row[left], pos[left]
+        bucket = ((second >> np.uint32(8)).astype(np.uint64) * np.uint64(n)) >> np.uint64(20)
         order = np.argsort(bucket.astype(np.uint16) if n < 65536 else bucket, kind="stable")
         for lo, size in zip(*runs(bucket[order]), strict=True):
             at = order[lo : lo + size]
             begin, count = runs(row[at])
-            raw = np.ascontiguousarray(h[at]).view(np.uint8).reshape(-1, 8)[:, : min(8, digest_bytes)]
-            if digest_bytes > 8:
-                raw = np.concatenate([raw, np.ascontiguousarray(second[at]).view(np.uint8).reshape(-1, 8)[:, : digest_bytes - 8]], axis=1)
-            yield int(bucket[at[0]]), 0, packed(np.diff(ids[row[at][begin]], prepend=0), count, gaps(row[at], pos[at])), raw.tobytes()
+            raw = np.concatenate([h[at].view(np.uint8).reshape(-1, 8), second[at].view(np.uint8).reshape(-1, 4)], axis=1)[:, :digest_bytes]
+            yield int(bucket[at[0]]), 0, 0, packed(np.diff(ids[row[at][begin]], prepend=0), null[row[at][begin]], count, gaps(row[at], pos[at])), raw.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, got, rows, held = [], [], 0, 0
+        ids, null, got, rows, held = [], [], [], 0, 0
         for b in batches:
-            for lo, hi in pieces(b.column(1)):
-                data, at = text_bytes(b.column(1).slice(lo, hi - lo))
-                h, row, pos, _ = window_hashes(data, at, window)
-                second = window_hashes(data, at, window, BASES[1])[0] if digest_bytes > 8 else np.zeros(0, np.uint64)
-                got.append((h, (row + rows).astype(np.int32), pos.astype(np.int32), second))
+            for lo, hi in pieces(b.column(2), PIECE):
+                h, second, row, pos, _ = window_hashes(_texts(b.column(2).slice(lo, hi - lo)), key, window)
+                got.append((h, second.astype(np.uint32), (row + rows).astype(np.int32), pos.astype(np.int32)))
                 ids.append(np.asarray(b.column(0).slice(lo, hi - lo)))
+                null.append(np.asarray(b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False), bool))
                 rows, held = rows + hi - lo, held + len(h)
                 if held >= BLOCK:
-                    yield from _batches(flush(np.concatenate(ids), got))
-                    ids, got, rows, held = [], [], 0, 0
+                    yield from _batches(flush(np.concatenate(ids), np.concatenate(null), got))
+                    ids, null, got, rows, held = [], [], [], 0, 0
         if held:
-            yield from _batches(flush(np.concatenate(ids), got))
+            yield from _batches(flush(np.concatenate(ids), np.concatenate(null), got))
 
     return run
 
 
-def _batches(rows: Iterator[tuple[int, int, bytes, bytes]], most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def _texts(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.large_binary()).fill_null(b"").to_pylist()
+
+
+def _batches(rows: Iterator[tuple[int, int, int, bytes, bytes]], most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     got, size = [], 0
 
     def out() -> pa.RecordBatch:
-        part, kind, a, b = zip(*got, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["part", "kind", "a", "b"])
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     for r in rows:
         got.append(r)
-        size += len(r[2]) + len(r[3])
+        size += len(r[3]) + len(r[4])
         if size > most:
             yield out()
             got, size = [], 0
@@ -201,29 +301,28 @@ def _batches(rows: Iterator[tuple[int, int, bytes, bytes]], most: int = 16_000_0
 
 
 def _reduce(n: int, digest_bytes: int):
+    def part(a: bytes, raw: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, null, count, step = unpacked(a)
+        full = np.zeros((int(mine.sum()), 12), np.uint8)
+        full[:, :digest_bytes] = raw[mine]
+        h, second = np.ascontiguousarray(full[:, :8]).view(np.uint64).reshape(-1), np.ascontiguousarray(full[:, 8:]).view(np.uint32).reshape(-1)
+        return h, second, np.repeat(np.cumsum(ids), count)[mine], np.repeat(null.astype(bool), count)[mine], ungapped(count, step).astype(np.int32)[mine]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, doc, pos = [], [], []
+        held: list[tuple[bytes, np.ndarray]] = []
         for batch in batches:
-            kind = np.asarray(batch.column(1))
+            kind = np.asarray(batch.column(2))
             if (kind == 1).any():
                 yield batch.filter(pa.array(kind == 1))
             for k in np.flatnonzero(kind == 0):
-                ids, count, step = unpacked(batch.column(2)[k].as_py())
-                raw = np.frombuffer(batch.column(3)[k].as_py(), np.uint8).reshape(-1, digest_bytes)
-                full = np.zeros((len(raw), 16), np.uint8)
-                full[:, :digest_bytes] = raw
-                full = full.view(np.uint64)
-                h.append(full[:, 0] if digest_bytes <= 8 else full)
-                doc.append(np.repeat(np.cumsum(ids), count))
-                pos.append(ungapped(count, step).astype(np.int32))
-        if not h:
-            return
-        h, doc, pos = np.concatenate(h), np.concatenate(doc), np.concatenate(pos)
-        low = h if h.ndim == 1 else h[:, 0]
-        if h.ndim == 2:
-            h = np.unique(h, axis=0, return_inverse=True)[1].reshape(-1)
-        found = repeated(h, doc)
-        yield from _batches((t, 1, blob, b"") for t, blob in reports(doc[found], pos[found], low[found] & np.uint64(0xFFFF), n))
+                held.append((batch.column(3)[k].as_py(), np.frombuffer(batch.column(4)[k].as_py(), np.uint8).reshape(-1, digest_bytes)))
+        slices = min(256, -(-sum(len(raw) for _, raw in held) // PASS))
+        for s in range(slices):
+            got = [part(a, raw, raw[:, 0].astype(np.int32) * slices >> 8 == s) for a, raw in held]
+            h, second, doc, null, pos = (np.concatenate([g[k] for g in got]) for k in range(5))
+            del got
+            found = repeated(h, second, doc, null)
+            yield from _batches((t, step, 1, blob, b"") for t, step, blob in reports(doc[found], null[found], pos[found], h[found], n))
 
     return run
 
@@ -231,56 +330,65 @@ def _reduce(n: int, digest_bytes: int):
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, kept_text string"
 
 
-def _cut(window: int, with_text: bool):
+def _cut(window: int, with_text: bool, key: Key, digest_bytes: int):
+    def told(blobs: list[bytes]) -> dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]:
+        """By document: positions and hashes."""
+        out: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for x in blobs:
+            ids, null, count, step, check = unpacked(x)
+            pos, end = ungapped(count, step).astype(np.int32), np.cumsum(count)
+            for i, z, a, b in zip(np.cumsum(ids).tolist(), null.tolist(), (end - count).tolist(), end.tolist(), strict=True):
+                out.setdefault((i, bool(z)), []).append((pos[a:b], check[a:b]))
+        return out
+
+    def cut(raw: bytes, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, int, bytes]:
+        words = [w for part in split(raw) for w in part]
+        if not found or len(words) < window:
+            return len(words), 0, 0, b" ".join(words)
+        p, c = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).view(np.uint64)
+        c, p = c[p <= len(words) - window], p[p <= len(words) - window]
+        h = window_hashes([raw], key, window)[0]
+        if digest_bytes < 8:
+            c, h = c & np.uint64(2 ** (8 * digest_bytes) - 1), h & np.uint64(2 ** (8 * digest_bytes) - 1)
+        p = np.unique(p[h[p] == c])
+        edge = np.zeros(len(words) + 1, np.int32)
+        edge[p] += 1
+        edge[p + window] -= 1
+        hit = np.cumsum(edge)[:-1] > 0
+        return len(words), int(hit.sum()), int((np.diff(hit.astype(np.int8), prepend=0) == 1).sum()), b" ".join([words[x] for x in np.flatnonzero(~hit).tolist()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, doc, begin, pos, check = [], np.zeros(0, np.int64), np.zeros(1, np.int64), None, None
+        step, blobs, found = -1, [], {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = np.asarray(batch.column(1))
-            blobs += [unpacked(x) for x in batch.column(2).filter(pa.array(kind == 1)).to_pylist()]
-            texts = batch.filter(pa.array(kind == 2))
-            if not texts.num_rows:
-                continue
-            if blobs:  # all reports come before the first text
-                d = np.concatenate([np.repeat(np.cumsum(x[0]), x[1]) for x in blobs])
-                p = np.concatenate([ungapped(x[1], x[2]) for x in blobs])
-                c = np.concatenate([x[3] for x in blobs])
-                order = np.argsort(d, kind="stable")
-                d, pos, check, blobs = d[order], p[order], c[order], []
-                first, size = runs(d)
-                doc, begin = d[first], np.append(first, first[-1] + size[-1])
             out = []
-            for key, i, t in zip(np.asarray(texts.column(4)), texts.column(5).to_pylist(), texts.column(6).to_pylist(), strict=True):
-                raw = (t or "").encode()
-                words = raw.split()
-                k = int(np.searchsorted(doc, key))
-                gone = cuts = 0
-                if k < len(doc) and doc[k] == key and len(words) >= window:
-                    p, c = pos[begin[k] : begin[k + 1]], check[begin[k] : begin[k + 1]]
-                    c, p = c[p <= len(words) - window], p[p <= len(words) - window]
-                    h = window_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window)[0]
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    p = np.unique(p[(h[p] & np.uint64(0xFFFF)).astype(np.int64) == c])
-                    edge[p] += 1
-                    edge[p + window] -= 1
-                    hit = np.cumsum(edge)[:-1] > 0
-                    gone, cuts = int(hit.sum()), int((np.diff(hit.astype(np.int8), prepend=0) == 1).sum())
-                    kept = b" ".join([words[x] for x in np.flatnonzero(~hit).tolist()])
-                else:
-                    kept = b" ".join(words)
-                out.append((i, len(words), gone, hashlib.sha256(kept).hexdigest(), cuts, kept.decode() if with_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], [x.split()[0] for x in OUT.split(", ")])
+            steps, kinds = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            for k in range(batch.num_rows):
+                if steps[k] != step:
+                    step, blobs, found = steps[k], [], {}
+                if kinds[k] == 1:
+                    blobs.append(batch.column(3)[k].as_py())
+                    continue
+                if blobs:  # all reports of a step come before its first text
+                    found, blobs = told(blobs), []
+                i, raw = batch.column(6)[k].as_py(), batch.column(7)[k]
+                raw = raw.as_buffer().to_pybytes() if raw.is_valid else b""
+                n, gone, cuts, kept = cut(raw, found.get((batch.column(5)[k].as_py(), i is None), []))
+                out.append((i, n, gone, hashlib.sha256(kept).hexdigest(), cuts, kept.decode() if with_text else None))
+            if out:
+                kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), kinds_out, strict=True)], [x.split()[0] for x in OUT.split(", ")])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, digest_bytes: int = 7) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, digest_bytes: int = 9) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256, n_intervals, kept_text (null without with_text)."""
-    n = partitions(docs.sparkSession)
-    docs = docs.select(id_key(id_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    windows = docs.select("key", "text").mapInArrow(_map(n, window, digest_bytes), SCHEMA).repartitionById(n, "part")
+    n, key = max(partitions(docs.sparkSession), -(-text_size(docs, text_col) // SHARE)), Key()
+    text = quoted(text_col).cast("string")
+    docs = docs.select(F.coalesce(quoted(id_col).cast("long"), F.xxhash64(text)).alias("key"), quoted(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    windows = docs.select("key", F.col("doc_id").isNull().alias("null"), "text").mapInArrow(_map(n, window, digest_bytes, key), SCHEMA).repartitionById(n, "part")
     found = windows.mapInArrow(_reduce(n, digest_bytes), SCHEMA)
-    texts = docs.select(home(F.col("key"), n).alias("part"), F.lit(2).alias("kind"), "key", "doc_id", "text")
-    both = found.unionByName(texts, allowMissingColumns=True).select("part", "kind", "a", "b", "key", "doc_id", "text")
-    return both.repartitionById(n, "part").sortWithinPartitions("kind").mapInArrow(_cut(window, with_text), OUT)
+    at = home(F.col("key"), n * STEPS)
+    texts = docs.select(F.floor(at / STEPS).cast("int").alias("part"), F.pmod(at, F.lit(STEPS)).cast("int").alias("step"), F.lit(2).alias("kind"), "key", "doc_id", "text")
+    both = found.unionByName(texts, allowMissingColumns=True).select("part", "step", "kind", "a", "b", "key", "doc_id", "text")
+    return both.repartitionById(n, "part").sortWithinPartitions("step", "kind").mapInArrow(_cut(window, with_text, key, digest_bytes), OUT)

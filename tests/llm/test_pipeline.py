@@ -1,36 +1,14 @@
 """The pipeline against the brute-force versions of its stages, one after another."""
 
-import re
-import struct
-import zlib
-from collections import Counter
-
 import corpus_pipeline
-import xxhash
-from tessera.llm import mixing
 
-from . import test_decontaminate, test_quality, test_sharding, test_simhash
+from . import test_decontaminate, test_mixing, test_quality, test_sharding, test_simhash
 
 D = "/root/testdata/sf0.001"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sampled(docs):
-    cell, cells = {}, Counter()
-    for d, t, lang, src in docs:
-        long = re.search(r"[^\x20\x09-\x0D]{12,}", t)
-        key = (src if src in mixing.SOURCES else mixing.OTHER, lang if lang in mixing.LANGUAGES else mixing.OTHER, str(zlib.crc32((long[0] if long else "").encode()) % 4))
-        cell[d] = key
-        cells[key] += len(WORD.findall(t))
-    p = mixing.probabilities(cells, [mixing.SOURCES, mixing.LANGUAGES, mixing.TOPICS])
-    out = []
-    for r in docs:
-        h = xxhash.xxh64_intdigest(struct.pack("<q", r[0]), 42)
-        h = xxhash.xxh64_intdigest(r[1].encode(), h)
-        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), h)
-        if (h >> 11) / 2**53 < p[cell[r[0]]]:
-            out.append(r)
-    return out
+    return [r for r, x in zip(docs, test_mixing.brute(docs)) if x[6]]
 
 
 def test_stages(spark):
@@ -56,3 +34,23 @@ def test_stages_keep_columns_and_take_nothing(spark):
         assert f(spark, one, D).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), D).collect() == []
     assert len(corpus_pipeline.near_duplicates(spark, one, D).collect()) == 1
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{D}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{D}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_with_nulls_repeats_long_texts_and_odd_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    long = docs.where("length(text) > 500").orderBy("doc_id").limit(1)
+    odd = long.selectExpr("2L * doc_id + 100000 as doc_id", "array_join(transform(sequence(1, 40000), i -> concat('w', hex(i * 7919 % 65521))), ' ') as text", "lang", "source", "n_chars")
+    nulls = long.selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as long) as n_chars")
+    lost = docs.where("doc_id % 7 = 0").selectExpr("cast(null as long) as doc_id", "text", "lang", "cast(null as string) as source", "n_chars")
+    every = docs.union(docs.limit(20)).union(odd).union(nulls).union(lost).selectExpr("*", "1 as `a.b`", "2 as row", "3 as kept", "4 as `x``y`")
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{D}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and set(got[0].asDict()) == {"doc_id", "size", "text_crc32", "shard", "slot"}
+    assert len({r.text_crc32 for r in got}) == len(got)
