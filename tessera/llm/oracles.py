@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ACCESS, ASSIGN, HEX, LONG
+from .secrets import ACCESS, ASSIGN, HEX, LONG, MOST_DOCS
 
 SUBSTRING = r"""
 with p as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents)),
@@ -25,7 +25,7 @@ dg as (select doc_id, i, list(w) over (partition by doc_id order by i rows betwe
 sized as (select doc_id, i, s, g[1:s] g from dg, (select distinct len(g) s from win) where len(g) >= s),
 hit as (select doc_id, i, s, item_id from sized join win using (g)),
 h as (select doc_id, count(distinct i + k) n from hit, range(10) z(k) where k < s group by 1),
-it as (select doc_id, count(*) n, string_agg(item, ',' order by item) l from (select distinct doc_id, item_id::varchar item from hit) group by 1),
+it as (select doc_id, count(item) n, string_agg(item, ',' order by item) l from (select distinct doc_id, item_id::varchar item from hit) group by 1),
 c as (select doc_id, count(*) n from dp group by 1)
 select d.doc_id, coalesce(c.n, 0) n_words, coalesce(h.n, 0) n_hit, coalesce(it.n, 0) n_items, sha256(coalesce(it.l, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated
 from documents d left join c on d.doc_id = c.doc_id left join h on d.doc_id = h.doc_id left join it on d.doc_id = it.doc_id
@@ -47,12 +47,12 @@ f as ({" union all ".join(_matches(k, p) for k, p in enumerate((ASSIGN, ACCESS,
 v as (select *, a + length(m) z, case when kind = 0 then regexp_extract(m, '{_VALUE}', 2) else m end val from f),
 ok as (select * from v where case kind when 0 then length(val) >= 6 when 1 then length(val) >= 20 when 2 then true else regexp_matches(val, '[0-9]') and regexp_matches(val, '[a-z]') and regexp_matches(val, '[A-Z]') end),
 cand as (select distinct doc_id, source, z - length(val) a, z, val from ok),
-own as (select val, count(distinct coalesce(source, chr(0))) n from cand group by 1),
+own as (select val, count(distinct coalesce(source, chr(0))) > 1 or count(distinct coalesce(doc_id::varchar, '')) > {MOST_DOCS} copied from cand group by 1),
 base as (select doc_id, a, kind, z, ['assign', 'access', 'hex'][kind + 1] || ':' || a || ':' || z s from ok where kind < 3),
-live as (select doc_id, a, 3 kind, z, 'live:' || a || ':' || z s from cand join own using (val) where n = 1),
+live as (select doc_id, a, 3 kind, z, 'live:' || a || ':' || z s from cand join own using (val) where not copied),
 b as (select doc_id, count(*) filter (kind = 0) n0, count(*) filter (kind = 1) n1, count(*) filter (kind = 2) n2, string_agg(s, ',' order by a, kind) s from base group by 1),
 l as (select doc_id, string_agg(s, ',' order by a, kind, z) s, count(*) filter (kind = 3) n from (select * from base union all select * from live) group by 1),
-c as (select doc_id, count(*) n from cand join own using (val) where own.n > 1 group by 1)
+c as (select doc_id, count(*) n from cand join own using (val) where copied group by 1)
 select t.doc_id, coalesce(n0, 0) n_assign, coalesce(n1, 0) n_access, coalesce(n2, 0) n_hex, sha256(coalesce(b.s, '')) base_sha256, coalesce(l.s, '') spans, coalesce(l.n, 0) n_live, coalesce(c.n, 0) n_copied
 from t left join b on t.doc_id = b.doc_id left join l on t.doc_id = l.doc_id left join c on t.doc_id = c.doc_id
 """
