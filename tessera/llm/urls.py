@@ -4,13 +4,15 @@ A rule is a host with its subdomains and a path prefix, or a pattern in which *
 and || the start of a host label. Each rule is kept under one of its literal tokens: the one that the fewest urls of
 the table have (counted for the rules' tokens only). A url's distinct tokens fetch the rules kept under them, and
 only those run their regular expressions. The index is a literal of the plan, a hash table of SLOTS lists, so a url
-needs no shuffle; the rules are the caller's and may take MOST_BYTES (more is an error, not a cut).
+needs no shuffle. Rules that take more than `most_bytes` are a written table instead, joined with the urls' tokens;
+that gives the same rows.
 
 The longest fitting host rule decides. Without one, a fitting pattern does (block before allow), else `allow`.
 
 Defined results. Null url or no ://: host and path empty, no rule, allow. A host may be empty, hold a port or user;
-those belong to it. Rules that tie in length are taken in text order. Repeated rows are judged each. Extra columns
-aren't returned. Empty table or no rules: as said.
+those belong to it. Rules that tie in length are taken in text order. Repeated rows are judged each. A very long url
+is judged in whole, each of its distinct tokens looked up once. Extra columns, whatever their names, aren't read.
+Empty table: empty result. No rules: all are allowed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted, stored
+
+#: Of rules in the plan.
 MOST_BYTES = 4_000_000
 SLOTS = 1024
 TOKEN = r"[^0-9A-Za-z]+"
@@ -62,13 +67,13 @@ def tokens_of(text: Column) -> Column:
     return F.array_distinct(F.split(text, TOKEN))
 
 
-def judged(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: list[tuple[str, str, str]] = HOST_RULES, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
+def judged(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: list[tuple[str, str, str]] = HOST_RULES, patterns: list[tuple[str, str]] = PATTERNS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_candidates)."""
     rules = [host_rule(*r) for r in host_rules] + [pattern_rule(*p) for p in patterns]
-    if sum(len(r["regex"]) + sum(map(len, r["tokens"])) for r in rules) > MOST_BYTES:
-        raise ValueError(f"the rules take more than {MOST_BYTES} bytes")
     host, path, after = split_url(F.col("_url"))
-    df = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")).select("page_id", host.alias("host"), path.alias("path"), after.alias("_after"))
+    df = urls.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("_url")).select("page_id", host.alias("host"), path.alias("path"), after.alias("_after"))
+    if sum(len(r["regex"]) + sum(map(len, r["tokens"])) for r in rules) > most_bytes:
+        return _by_table(df, rules)
     wanted = sorted({t for r in rules for t in r["tokens"]})
     known = F.array_intersect(tokens_of(F.concat("host", "_after")), F.array(*map(F.lit, wanted)).cast("array<string>"))
     seen = {r.token: r["count"] for r in df.select(F.explode(known).alias("token")).groupBy("token").count().collect()} if rules else {}
@@ -92,6 +97,25 @@ def judged(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", host_
     return df.select("page_id", "host", "path", F.col("_best.name").alias("rule"), F.coalesce("_best.verdict", other).alias("verdict"), F.size("_fetched").cast("long").alias("n_candidates"))
 
 
+def _by_table(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """`judged` with the index as a table. df: page_id, host, path, _after."""
+    spark = df.sparkSession
+    kind = "i int, name string, rank int, verdict string, regex string, tokens array<string>"
+    table = stored(spark.createDataFrame([(i, r["name"], r["rank"], r["verdict"], r["regex"], sorted(set(r["tokens"]))) for i, r in enumerate(rules)], kind), "url-rules")
+    df = stored(df.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    words = df.select("row", F.explode(tokens_of(F.concat("host", "_after"))).alias("token"))
+    own = table.select("i", F.explode("tokens").alias("token"))
+    seen = words.join(own.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rare = own.join(seen, "token", "left").groupBy("i").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("least"))
+    index = stored(table.drop("tokens").join(rare.select("i", "least.token"), "i"), "url-index")
+    fetched = words.join(index, "token").join(df.select("row", F.concat("host", "path").alias("w"), F.concat("host", "_after").alias("a")), "row")
+    fits = F.rlike(F.when(F.col("name").isNull(), F.col("a")).otherwise(F.col("w")), F.col("regex"))
+    best = F.min(F.when(fits & F.col("name").isNotNull(), F.struct((-F.col("rank")).alias("rank"), "name", "verdict")))
+    found = fetched.groupBy("row").agg(best.alias("best"), F.max(fits & F.col("name").isNull() & (F.col("verdict") == "block")).alias("bad"), F.count("*").alias("n"))
+    verdict = F.coalesce("best.verdict", F.when(F.col("bad"), "block").otherwise("allow"))
+    return df.join(found, "row", "left").select("page_id", "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"))
+
+
 #: DuckDB SQL for host, path, rule and verdict over pages, with the fixed rules above.
 ORACLE = r"""
 with u as (

@@ -40,6 +40,32 @@ def test_edges(spark):
     assert {r.verdict for r in urls.judged(df, host_rules=[], patterns=[]).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("host_rules, patterns", [(urls.HOST_RULES, urls.PATTERNS), (urls.HOST_RULES, []), ([], urls.PATTERNS)])
+def test_rules_as_a_table_give_the_same(spark, host_rules, patterns):
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS + URLS[:9])] + [(None, "http://a.org/", "z")], "page_id long, url string, `a.b` string")
+    rows = lambda most: sorted(map(repr, urls.judged(df, host_rules=host_rules, patterns=patterns, most_bytes=most).collect()))
+    assert rows(0) == rows(urls.MOST_BYTES)
+    assert urls.judged(df.limit(0), most_bytes=0).collect() == []
+
+
+def test_more_rules_than_the_plan_takes(spark):
+    """80,000 rules, 5 MB: two in three hosts have one, and the longer path wins."""
+    rules = [(f"host{i}.example.org", p, v) for i in range(40_000) for p, v in (("/", "block"), (f"/open{i}/", "allow"))]
+    patterns = [("/login^", "block")]
+    assert sum(len(x["regex"]) + sum(map(len, x["tokens"])) for x in (urls.host_rule(*r) for r in rules)) > urls.MOST_BYTES
+    pages = [f"http://sub.host{i}.example.org/{p}" for i in range(0, 60_000, 1000) for p in (f"open{i}/x", f"open{i + 1}/x", "login")]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judged(df, host_rules=rules, patterns=patterns).collect()}
+    for k, u in enumerate(pages):
+        host, path = u[len("http://sub.") :].split("/", 1)
+        i = int(host[4:].split(".")[0])
+        if i < 40_000:
+            p, v = (f"/open{i}/", "allow") if path == f"open{i}/x" else ("/", "block")
+            assert got[k] == (host + p, v)
+        else:
+            assert got[k] == (None, "block" if path == "login" else "allow")
+
+
 def test_rules_need_a_token():
     with pytest.raises(ValueError):
         urls.pattern_rule("*a*", "block")
