@@ -2,16 +2,18 @@
 
 A text's digest is the SHA-256 of the tokenizer's version (that of its file) and the normalised text: U+2581 is a
 space, as the model itself takes it, and nothing else changes, so equal digests have equal counts. The cache is a
-Parquet folder (version, digest, n_tokens). Texts are first reduced to one a digest, on the map side too; those in
-the cache go; the misses are encoded and appended; then every document finds its count in the cache. A folder that
-two jobs append to may hold a digest twice, with one count: readers take one.
-
-Misses are encoded by the library, word by word: no piece of the model has a space inside (checked when it is
-loaded, else whole texts are encoded), so the pieces of a text are those of its words, each with the spaces before
-it. A worker remembers WORDS words at most.
-
-Defined results. Null text: as empty, no tokens. Repeated rows: each has its count. Null doc_id stays. Extra
-columns aren't read. Empty table: empty result, nothing appended.
+Parquet folder (digest, n_tokens), partitioned by version. Documents are first reduced to their digests; those that
+the cache has not got are misses, and only texts of misses are shuffled, one a digest, on the map side too. They are
+encoded and appended; then every document finds its count in the cache. A folder that two jobs append to may hold a
+digest twice, with one count: readers take one.
+
+Misses are encoded by the library, word by word: no piece of the model has a space inside, so the pieces of a text
+are those of its words, each with the spaces before it. Whether that holds is found out when the model is loaded,
+from its pieces and from PROBES; else whole texts are encoded. A worker remembers WORDS words at most.
+
+Defined results. Null text: as empty, no tokens. Repeated rows: each has its count. Null doc_id stays. A very long
+text is encoded in whole by one task, its words as a list. Extra columns, whatever their names, aren't read. Empty
+table: empty result, nothing appended.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, pieces, stored
+from .shared import new_path, pieces, quoted, stored, temporary
 
 LIMIT = 4096
 WORDS = 1_000_000
+#: So many misses, 32 bytes each, are broadcast to pick their texts before the shuffle; more are joined after it.
+BROADCAST_ROWS = 100_000
+#: Texts that a model must count alike by words and in whole.
+PROBES = ["One two, three.", " a", "a ", "  a  b   ", "é ß 日本 न्", "\tx\ny\r\n z", "a\u2581b \u2581c", "<s> </s> <unk> <0x0A>", "x" * 300 + " y", "1 12 3.5", "\u3000a \u200b b", "\x00 \x1c", "ﬁ Ａ ͅ", "...  !?"]
 CHUNK = re.compile(" *[^ ]+| +$")
 _counters: dict[str, Counter] = {}
 
@@ -41,6 +47,8 @@ class Counter:
         self.by_word = not any("▁" in x.lstrip("▁") for x in names)
         self.seen: dict[str, int] = {}
         self.space = len(self.model.encode("a ")) - len(self.model.encode("a"))  # of one space at the end
+        if self.by_word:
+            self.by_word = self.count(PROBES * 2) == [len(x) for x in self.model.encode(PROBES * 2, num_threads=1)]
 
     def words(self, text: str) -> list[str]:
         """What is encoded by itself, without the first of the spaces before it."""
@@ -97,18 +105,30 @@ def version_of(path: str) -> str:
 def counted(docs: DataFrame, path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens). path: a sentencepiece model. cache: the folder, a new one if None."""
     spark, version = docs.sparkSession, version_of(path)
-    cache = cache or new_path(spark, "token-cache")
-    kind = "version string, digest binary, n_tokens long"
-    spark.createDataFrame([], kind).write.mode("append").parquet(cache)  # so that it exists
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.replace(text, F.lit("▁"), F.lit(" ")).alias("text"))
+    own, cache = cache is None, cache or new_path(spark, "token-cache")
+    kind = "digest binary, n_tokens long, version string"
+    spark.createDataFrame([], kind).write.mode("append").partitionBy("version").parquet(cache)  # so that it exists
+    if own:
+        temporary(spark, cache)
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    df = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.replace(text, F.lit("▁"), F.lit(" ")).alias("text"))
     df = df.withColumn("digest", F.unhex(F.sha2(F.concat(F.lit(version + ":"), "text").cast("binary"), 256)))
+    rows = stored(df.select("doc_id", "n_bytes", "digest"), "token-digests")
+    distinct = stored(rows.select("digest").distinct(), "token-distinct")
 
     def known() -> DataFrame:
-        return spark.read.schema(kind).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-
-    misses = df.groupBy("digest").agg(F.first("text").alias("text")).join(known().select("digest"), "digest", "left_anti")
-    made = misses.select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
-    made.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = stored(known(), "token-counts")  # a join of plain shuffles, which Spark splits where many rows have one digest
-    return df.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+        return spark.read.schema(kind).parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
+
+    misses = stored(distinct.join(known(), "digest", "left_anti"), "token-misses")
+    if n := misses.count():
+        texts = df.select("digest", "text")
+        if n <= BROADCAST_ROWS:
+            texts = texts.join(F.broadcast(misses), "digest", "left_semi")
+        texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        if n > BROADCAST_ROWS:
+            texts = texts.join(misses, "digest", "left_semi")
+        made = texts.select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
+        made.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
+    counts = distinct.join(known(), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "token-counts")  # a join of plain shuffles, which Spark splits where many rows have one digest
+    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")

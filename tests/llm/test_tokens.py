@@ -28,6 +28,14 @@ def test_counter():
     assert tokens.Counter(public_tokenizers.path("piece_bpe_32k.model")).count(texts) == [len(x) for x in SP.encode(texts)]
 
 
+def test_counter_over_a_whole_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    own = tokens.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+    assert own.by_word and own.count(texts) == [len(x) for x in SP.encode(texts)]
+    own.by_word = False
+    assert own.count(texts[:200]) == [len(x) for x in SP.encode(texts[:200])]
+
+
 def test_encoder():
     texts = odd_texts()
     got = dac.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
@@ -100,6 +108,25 @@ def test_counts_and_cache(spark, tmp_path):
     assert tokens.counted(df.limit(0), path).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 50, 10**6])
+def test_a_warm_cache_encodes_only_misses(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", most)
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    other = spark.createDataFrame([("not a real count", 10**6)], "text string, n_tokens long").selectExpr("unhex(sha2(text, 256)) digest", "n_tokens", "'another' version")
+    other.write.mode("append").partitionBy("version").parquet(cache)
+    tokens.counted(df.where("doc_id % 2 = 0"), path, cache).collect()
+    files = {f for f in os.listdir(f"{cache}/version={tokens.version_of(path)}") if f.endswith(".parquet")}
+    first = spark.read.parquet(cache).count()
+    want = sorted((repr(d), len((t or "").encode()), len(SP.encode(t or ""))) for d, t in rows())
+    assert sorted((repr(r[0]), r[1], r[2]) for r in tokens.counted(df, path, cache).collect()) == want
+    assert spark.read.parquet(cache).count() == 1 + len({(t or "").replace("▁", " ") for _, t in rows()}) > first
+    again = set(os.listdir(f"{cache}/version={tokens.version_of(path)}"))
+    assert files < again
+    tokens.counted(df, path, cache).collect()
+    assert set(os.listdir(f"{cache}/version={tokens.version_of(path)}")) == again
+
+
 def brute_ids(rs):
     at, out = 0, []
     for d, t in sorted(rs, key=lambda r: (r[0] is None, r[0] or 0)):
