@@ -4,19 +4,22 @@ Normalised: A-Z lower-cased, words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, both b
 byte in place, so a word's offset in the normalised text is its offset in the original. The automaton's letters
 are word numbers: a document is read once, each word is looked up and steps the automaton, and matches mark words.
 
-The items are collected only after their bytes are counted; beyond `most_bytes` they are dealt by hash into as
+The items are collected only after their words are counted; beyond `most_words` they are dealt by hash into as
 many parts as needed, each with an automaton of its own, one pass over the documents each, with a written table
-between the passes, so no task ever holds more than one part.
+between the passes, so no task ever holds more than one part. An automaton takes about 700 bytes a word; a worker
+process builds it once and keeps one.
 
 Defined results. Null or blank texts have no words; an item without words is no window, one of under 10 words is
 one window. Items with equal windows are all named; item_ids that repeat are named once, a null item_id never, though
 its windows hit.
-Null doc_ids and repeated rows stay as they are. Extra columns are kept apart and can't clash. No documents: empty
-result; no items: nothing is hit.
+Null doc_ids and repeated rows stay as they are. A very long text is read in whole, its words as a list, by one task.
+Extra columns, whatever their names, are kept apart and can't clash. No documents: empty result; no items: nothing is
+hit.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored, text_bytes, word_bounds
+from .shared import quoted, stored, whole_row, word_bounds
 
 WINDOW = 10
-#: Of item texts in one automaton.
-MOST_BYTES = 64_000_000
+#: Of items in one automaton: 350 MB.
+MOST_WORDS = 500_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, mask binary"
 MADE = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "mask": pa.binary()}
@@ -64,6 +68,17 @@ class Automaton:
         return ranges, found
 
 
+_kept: dict[bytes, Automaton] = {}
+
+
+def automaton(items: list[tuple[str | None, str]], window: int) -> Automaton:
+    key = hashlib.sha256(repr((items, window)).encode()).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Automaton(items, window)
+    return _kept[key]
+
+
 def _spans(raw: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     """Maximal runs of hit words, in code points of the original text."""
     data = np.frombuffer(raw.translate(FOLD), np.uint8)
@@ -75,7 +90,7 @@ def _spans(raw: bytes, hit: np.ndarray) -> list[dict[str, int]]:
 
 def _scan(items: list[tuple[str | None, str]], window: int, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(items, window)
+        machine = automaton(items, window)
         for batch in batches:
             rows = []
             for text, before, named in zip(batch.column("text").to_pylist(), batch.column("mask").to_pylist(), batch.column("items").to_pylist(), strict=True):
@@ -100,12 +115,13 @@ def _scan(items: list[tuple[str | None, str]], window: int, spans: bool):
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, spans: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, spans: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """(row, n_words, n_hit, items, spans): row is the whole row of docs as a struct."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    parts = -(-size // most_bytes) or 1
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(item_text_col).cast("string").alias("text")).where("text is not null")
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    size = items.agg(F.sum(F.regexp_count(small, F.lit(WORD)))).head()[0] or 0
+    parts = -(-size // most_words) or 1
+    df = docs.select(whole_row(docs).alias("row"), quoted(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
     kind = T.StructType([*df.schema.fields[:2], *T.StructType.fromDDL(RESULT).fields])
     for k in range(parts):
         own = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()]

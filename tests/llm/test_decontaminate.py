@@ -57,11 +57,11 @@ def cases():
     return docs + [docs[9], docs[9]], items
 
 
-@pytest.mark.parametrize("most_bytes", [10**6, 400])
-def test_edges(spark, most_bytes):
+@pytest.mark.parametrize("most_words", [10**6, 60])
+def test_edges(spark, most_words):
     docs, items = cases()
     df = spark.createDataFrame([(*d, "n", 3) for d in docs], "doc_id long, text string, items string, n_hit int")
-    got = decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes).collect()
+    got = decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string"), most_words=most_words).collect()
     assert sorted((repr(r.row.doc_id), r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in got) == brute(docs, items)
     assert {(r.row["items"], r.row.n_hit) for r in got} == {("n", 3)}
 
@@ -72,15 +72,27 @@ def test_empty(spark):
     assert decontaminate.clean(docs.limit(0), none).collect() == []
 
 
-@pytest.mark.parametrize("most_bytes", [10**6, 40])
-def test_items_without_id_hit(spark, most_bytes):
+@pytest.mark.parametrize("most_words", [10**6, 7])
+def test_items_without_id_hit(spark, most_words):
     passage = " ".join(f"w{k}" for k in range(12))
     docs = [(1, f"before {passage} after"), (2, "one two"), (3, "x short item y"), (4, "nothing of it")]
     items = [(None, passage), (None, "short item"), (7, "one two"), (8, "short item"), (None, None)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.scan(df, bench, most_bytes=most_bytes).collect()
+    got = decontaminate.scan(df, bench, most_words=most_words).collect()
     assert sorted((repr(r.row.doc_id), r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in got) == brute(docs, items)
-    assert [r.doc_id for r in decontaminate.clean(df, bench, most_bytes=most_bytes).collect()] == [4]
+    assert [r.doc_id for r in decontaminate.clean(df, bench, most_words=most_words).collect()] == [4]
+
+
+def test_odd_column_names_and_a_long_text(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    long = "é filler " * 300_000 + passage + " é" * 10
+    rows = [(1, "nothing", 1, 2), (2, long, 3, 4), (None, passage, 5, 6), (None, None, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `x``y` int")
+    bench = spark.createDataFrame([(1, passage, 0)], "item_id long, text string, `a.b` int")
+    got = {r.row["a.b"]: (r.n_words, r.n_hit, [(s.start, s.end) for s in r.spans]) for r in decontaminate.scan(df, bench).collect()}
+    at = long.index(passage)
+    assert got == {1: (1, 0, []), 3: (600_022, 12, [(at, at + len(passage))]), 5: (12, 12, [(0, len(passage))]), 7: (0, 0, [])}
+    assert sorted(r["a.b"] for r in decontaminate.clean(df, bench).collect()) == [1, 7]
 
 
 def test_query(spark):
