@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import running_max
+
 
 def offenders(ops: DataFrame) -> DataFrame:
     """(ws, seq) of operations that start at or after the end of one with a sequence number at least theirs.
 
     Ends and starts are points; in time order, ends first, an operation offends if the largest number that has
-    ended isn't below its own. An operation that ends where it starts doesn't meet itself.
+    ended isn't below its own. An operation that ends where it starts doesn't meet itself. A workspace's points are
+    spread over tasks.
     """
     ends = ops.select("ws", F.col("end_s").alias("t"), F.lit(0).alias("what"), "seq", F.col("start_s").alias("from"))
     starts = ops.select("ws", F.col("start_s").alias("t"), F.lit(1).alias("what"), "seq", F.col("start_s").alias("from"))
-    w = Window.partitionBy("ws").orderBy("t", "what").rowsBetween(Window.unboundedPreceding, -1)
     own = (F.col("what") == 0) & (F.col("from") < F.col("t"))
-    done = F.max(F.when(own, F.col("seq"))).over(w)
-    return ends.union(starts).withColumn("done", done).where((F.col("what") == 1) & (F.col("done") >= F.col("seq"))).select("ws", "seq").distinct()
+    points = running_max(ends.union(starts).withColumn("ended", F.when(own, F.col("seq"))), "ws", ["t", "what"], "ended", "done")
+    return points.where((F.col("what") == 1) & (F.col("done") >= F.col("seq"))).select("ws", "seq").distinct()
 
 
 def durable(journal: DataFrame) -> DataFrame:

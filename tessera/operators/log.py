@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIXED = ["init", "undo", "adopt", "redact", "thin", "compact", "workspace"]
 GENESIS = "0" * 64
@@ -22,28 +27,44 @@ def missing_checkpoints(saves: DataFrame, bodies: DataFrame) -> DataFrame:
     return saves.join(bodies.select("log_id", "id"), ["log_id", "id"], "left_anti")
 
 
-def chain(log: DataFrame, payload) -> DataFrame:
-    """Adds prev and id: id is the hash of the row, prev the id before it."""
-    w = Window.partitionBy("log_id").orderBy("seq")
-    df = log.withColumn("id", F.sha2(payload.cast("binary"), 256))
-    return df.withColumn("prev", F.coalesce(F.lag("id").over(w), F.lit(GENESIS)))
+def sealed(prev: Column, body: Column) -> Column:
+    """An entry's id: the hash of the id before it and of its own number, time and operation."""
+    return F.sha2(F.concat_ws("|", prev, body).cast("binary"), 256)
 
 
-def chain_head(log: DataFrame, payload, longest: int = 1_000_000) -> DataFrame:
-    """(log_id, entries, head): the fold head = sha256(head | payload), in order; sequential within a log by nature.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    log, last = None, GENESIS
+    for b in batches:
+        prev, ids = [], []
+        for own, body in zip(b.column("log_id").to_pylist(), b.column("_body").to_pylist(), strict=True):
+            if own != log:
+                log, last = own, GENESIS
+            prev.append(last)
+            last = hashlib.sha256(f"{last}|{body}".encode()).hexdigest()
+            ids.append(last)
+        names = [n for n in b.schema.names if n != "_body"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(prev, pa.string()), pa.array(ids, pa.string())], [*names, "prev", "id"])
 
-    A log is one array here, so one of more than `longest` entries is an error, not a slow task.
-    """
-    rows = log.groupBy("log_id").agg(F.count("*").alias("entries"), F.collect_list(F.struct("seq", payload.alias("p"))).alias("rows"))
-    rows = rows.withColumn("rows", F.when(F.col("entries") <= longest, F.col("rows")).otherwise(F.raise_error(F.lit("a log is too long to fold"))))
-    head = F.aggregate(F.array_sort("rows"), F.lit(GENESIS), lambda a, r: F.sha2(F.concat_ws("|", a, r["p"]).cast("binary"), 256))
-    return rows.select("log_id", "entries", head.alias("head"))
+
+def chain(log: DataFrame, body: Column) -> DataFrame:
+    """Adds prev and id. An id covers the one before it, so a log is folded in order of seq: one task a log by nature,
+    but row by row, so that it takes no memory however long it is."""
+    kind = T.StructType([*log.schema.fields, T.StructField("prev", T.StringType()), T.StructField("id", T.StringType())])
+    return log.withColumn("_body", body).repartition("log_id").sortWithinPartitions("log_id", "seq").mapInArrow(_fold, kind)
 
 
-def first_break(chained: DataFrame, payload) -> DataFrame:
-    """(log_id, entries, first_break): the first row whose id isn't its hash or whose prev isn't the id before."""
+def chain_head(log: DataFrame, body: Column) -> DataFrame:
+    """(log_id, entries, head): the id of the last entry."""
+    return chain(log, body).groupBy("log_id").agg(F.count("*").alias("entries"), F.max_by("id", "seq").alias("head"))
+
+
+def first_break(chained: DataFrame, body: Column) -> DataFrame:
+    """(log_id, entries, first_break): the first entry whose id isn't that of its prev and body, or whose prev isn't the id before it.
+
+    Every entry is checked from what is stored, so no chain is folded again.
+    """
     w = Window.partitionBy("log_id").orderBy("seq")
-    bad = (F.col("id") != F.sha2(payload.cast("binary"), 256)) | (F.col("prev") != F.coalesce(F.lag("id").over(w), F.lit(GENESIS)))
+    bad = ~F.col("id").eqNullSafe(sealed(F.col("prev"), body)) | ~F.col("prev").eqNullSafe(F.coalesce(F.lag("id").over(w), F.lit(GENESIS)))
     return chained.select("log_id", "seq", bad.alias("bad")).groupBy("log_id").agg(F.count("*").alias("entries"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_break"))
 
 
@@ -90,5 +111,7 @@ def displaced(log: DataFrame) -> DataFrame:
 
 
 def throughput(log: DataFrame, width: int) -> DataFrame:
-    """Per log and range of `width` entries: operations and the milliseconds they span."""
-    return log.groupBy("log_id", F.expr(f"(seq - 1) div {width}").alias("window")).agg(F.count("*").alias("ops"), (F.max("at_ms") - F.min("at_ms")).alias("span_ms"))
+    """Per log and range of `width` entries: operations, the milliseconds they span, operations a minute and milliseconds each."""
+    df = log.groupBy("log_id", F.expr(f"(seq - 1) div {width}").alias("window")).agg(F.count("*").alias("ops"), (F.max("at_ms") - F.min("at_ms")).alias("span_ms"))
+    span = F.nullif("span_ms", F.lit(0)).cast("double")
+    return df.withColumn("ops_per_min", F.round(F.col("ops") * 60000.0 / span, 6)).withColumn("ms_per_op", F.round(F.col("span_ms").cast("double") / F.col("ops"), 6))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -28,13 +29,58 @@ def tree_prune_actions(spark, d):
     return trees.prune_actions(*both(spark, d))
 
 
-@query(SQL + """
-, f as (select split_part(path, '/', 1) dir, string_agg(split_part(path, '/', 2) || '=' || sha256(content), ';' order by split_part(path, '/', 2)) l, count(*) n from tree_a group by 1),
-h as (select dir, n entries, sha256(l) hash from f)
-select * from h union all select '', count(*), sha256(string_agg(dir || '=' || hash, ';' order by dir)) from h""")
+#: Folders of a tree {t} under DuckDB, as h{t} (dir, depth, entries, hash), and all its entries as e{t}.
+MERKLE = """
+, f{t} as (select path, len(string_split(path, '/')) depth, sha256(content) hash from tree_{t}),
+x4{t} as (select regexp_replace(path, '/[^/]*$', '') dir, split_part(path, '/', 4) nm, 'file' kind, hash from f{t} where depth = 4),
+d3{t} as (select dir, count(*) entries, sha256(string_agg(nm || '=' || kind || '=' || hash, ';' order by nm)) hash from x4{t} group by 1),
+x3{t} as (select regexp_replace(path, '/[^/]*$', '') dir, split_part(path, '/', 3) nm, 'file' kind, hash from f{t} where depth = 3 union all select regexp_replace(dir, '/[^/]*$', ''), split_part(dir, '/', 3), 'dir', hash from d3{t}),
+d2{t} as (select dir, count(*) entries, sha256(string_agg(nm || '=' || kind || '=' || hash, ';' order by nm)) hash from x3{t} group by 1),
+x2{t} as (select split_part(path, '/', 1) dir, split_part(path, '/', 2) nm, 'file' kind, hash from f{t} where depth = 2 union all select split_part(dir, '/', 1), split_part(dir, '/', 2), 'dir', hash from d2{t}),
+d1{t} as (select dir, count(*) entries, sha256(string_agg(nm || '=' || kind || '=' || hash, ';' order by nm)) hash from x2{t} group by 1),
+x1{t} as (select '' dir, path nm, 'file' kind, hash from f{t} where depth = 1 union all select '', dir, 'dir', hash from d1{t}),
+d0{t} as (select dir, count(*) entries, sha256(string_agg(nm || '=' || kind || '=' || hash, ';' order by nm)) hash from x1{t} group by 1),
+h{t} as (select * from d3{t} union all select * from d2{t} union all select * from d1{t} union all select * from d0{t}),
+e{t} as (select distinct kind, hash child from (select * from x4{t} union all select * from x3{t} union all select * from x2{t} union all select * from x1{t}) union select 'dir', hash from d0{t})
+"""
+
+
+@query(SQL + MERKLE.format(t="a") + "select * from ha")
 def tree_root_hash(spark, d):
-    """Every folder's hash up to the root's."""
-    return trees.hashes(tree(spark, d, 0, False), 2)
+    """Every folder's hash up to the root's; folders hold files and folders of any depth."""
+    return trees.hashes(tree(spark, d, 0, False))
+
+
+def history_nodes(spark, d):
+    """Two trees' nodes in one store, and the second's root."""
+    a, b = (trees.nodes(t) for t in both(spark, d))
+    return a.union(b).where("parent <> ''").distinct(), a.where("parent = ''").select("child"), b.where("parent = ''").select("child")
+
+
+@query(SQL + MERKLE.format(t="b") + "select child, kind from eb")
+def reachable_nodes(spark, d):
+    """What the second tree's root reaches in a store that holds both trees."""
+    entries, _, root = history_nodes(spark, d)
+    return trees.reach(entries, root)
+
+
+@query(SQL + MERKLE.format(t="a") + MERKLE.format(t="b") + "select child, kind from ea union select child, kind from eb")
+def live_union(spark, d):
+    """What either root reaches, shared subtrees once."""
+    entries, one, two = history_nodes(spark, d)
+    return trees.reach(entries, one.union(two))
+
+
+@query(SQL + MERKLE.format(t="b") + """
+, s as (select child, case when child like '%7' then 'redacted' when child like '0%' then 'absent' else 'verified' end state from eb where kind = 'file')
+select state, count(*) files, false complete from s group by 1""")
+def verify_walk(spark, d):
+    """The second tree walked from its root, and its contents looked up in a store that has lost some and redacted others."""
+    entries, _, root = history_nodes(spark, d)
+    have = entries.where("kind = 'file' and child not like '0%'").select("child")
+    states = trees.verified(trees.reach(entries, root), have, entries.where("kind = 'file' and child like '%7'").select("child"))
+    n = states.groupBy("state").agg(F.count("*").alias("files"))
+    return n.withColumn("complete", F.min(F.col("state") == "verified").over(Window.partitionBy(F.lit(1))))  # three rows at most
 
 
 @query(SQL + """
@@ -58,11 +104,22 @@ def reachable_chunks(spark, d):
     return line_chunks(spark, d).where(F.col("source").isin("src4", "src5")).select("chunk_id").distinct()
 
 
-@query(SQL + "select split_part(path, '/', 1) owner, count(*) paths from tree_a where path in (select path from tree_b) group by 1")
+ASKED = ["1-URGENT", "2-HIGH/s3", "3-MEDIUM/s6/deep", "3-MEDIUM/s", "4", "104", "nowhere", "../etc", "5-LOW//s1", ""]
+
+
+@query(SQL + """
+, q(asked) as (values ('1-URGENT'), ('2-HIGH/s3'), ('3-MEDIUM/s6/deep'), ('3-MEDIUM/s'), ('4'), ('104'), ('nowhere'), ('../etc'), ('5-LOW//s1'), (''))
+select distinct asked, path from q left join tree_a on path = asked or (asked <> '' and starts_with(path, asked || '/'))""")
 def assign_expand(spark, d):
-    """Given folders expanded to the paths under them that the other tree has too."""
+    """Given paths expanded to the files that they are or hold; null for refused ones."""
+    return trees.expand(tree(spark, d, 0, False), spark.createDataFrame([(x,) for x in ASKED], "asked string"))
+
+
+@query(SQL + "select case when strpos(path, '/') > 0 then regexp_replace(path, '/[^/]*$', '') else '' end dir, count(*) files from tree_a join tree_b using (path) group by 1")
+def tree_node_at(spark, d):
+    """Paths that both trees have, by folder: looked up by whole paths."""
     a, b = both(spark, d)
-    return a.join(b.select("path"), "path", "left_semi").groupBy(scalar.first_component(F.col("path")).alias("owner")).agg(F.count("*").alias("paths"))
+    return a.join(b.select("path"), "path", "left_semi").groupBy(scalar.dirname(F.col("path")).alias("dir")).agg(F.count("*").alias("files"))
 
 
 @query(SQL + """

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.log import FIXED
+
 SCHEMA = "log_id long, seq long, kind string, line int, at timestamp"
 
 
@@ -33,14 +35,14 @@ def tips(df: DataFrame) -> DataFrame:
 
 
 def _undo(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The stack of live entries; rows of a trigger in order of seq."""
+    """The stack of live entries; rows of a trigger in order of seq. Kinds that can't be undone don't go on it, as in operators.log."""
     stack = list(state.get[0]) if state.exists else []
     rows = pd.concat(list(batches)).sort_values("seq")
     out = []
     for seq, kind in zip(rows["seq"], rows["kind"], strict=True):
         if kind == "undo":
             out.append((key[0], int(seq), stack.pop() if stack else None))
-        else:
+        elif kind not in FIXED:
             stack.append(int(seq))
     state.update((stack,))
     yield pd.DataFrame({"log_id": pd.Series([r[0] for r in out], dtype="int64"), "seq": pd.Series([r[1] for r in out], dtype="int64"), "undone_seq": pd.Series([r[2] for r in out], dtype="Int64")})

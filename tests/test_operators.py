@@ -125,8 +125,8 @@ def test_trees(spark):
     put = spark.createDataFrame([("x/2", "new"), ("y/1", None), ("z/9", "add")], "path string, content string")
     assert {tuple(r) for r in trees.splice(a, put).collect()} == {("x/1", "p"), ("x/2", "new"), ("z/9", "add")}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    x, y = sha(f"1={sha('p')};2={sha('q')}"), sha(f"1={sha('r')}")
-    assert {r.dir: r.hash for r in trees.hashes(a, 2).collect()} == {"x": x, "y": y, "": sha(f"x={x};y={y}")}
+    x, y = sha(f"1=file={sha('p')};2=file={sha('q')}"), sha(f"1=file={sha('r')}")
+    assert {r.dir: r.hash for r in trees.hashes(a).collect()} == {"x": x, "y": y, "": sha(f"x=dir={x};y=dir={y}")}
     assert trees.unequal(a, a).count() == 0
 
 
