@@ -2,25 +2,26 @@
 
 A word goes if a window covers it whose words also begin somewhere in a document with a smaller doc_id.
 
-1. Per input partition, blocks of about 4 million windows. A word's value is its BLAKE2b digest; a window's hash is
-   the polynomial of its words' values, modulo 2^61 - 1 and again modulo 2^31 - 1, under bases and a digest key drawn
+1. Per input partition, blocks of about 2 million windows. A word's values are its SipHashes under two keys; a window's
+   hash is the polynomial of its words' values, modulo 2^61 - 1 and again modulo 2^31 - 1; keys and bases are drawn
    anew for each run. Within a block, of the documents that share a window only the one of smallest doc_id goes on;
    the others' windows are found out already (the map side's share of the count).
-2. What is left is dealt by hash range as packed bytes, about 10.5 a window: 72 bits of the hashes, and document and
-   position as gaps. A task gets its range from all blocks, counts it in slices of PASS windows, finds the smallest
+2. What is left is dealt by hash range as packed bytes, about 9.5 a window: 64 bits of the hashes or more, and document
+   and position as gaps. A task gets its range from all blocks, counts it in slices of PASS windows, finds the smallest
    doc_id of each repeated hash, and reports the windows of larger ones to their documents' partitions. A window that
    is common to a third of all documents is one entry a block, so no key is hot.
 3. Texts and reports meet by doc_id, in STEPS parts a partition; windows merge into maximal intervals, which are cut out.
 
-72 bits and the hash range identify a window: with log2(partitions) that is 77 bits or more, so two different windows
-among N are expected to be taken for the same N^2 / 2^78 times: about 10^-7 over 135 million windows. The polynomials
-are modulo primes and the words' values are digests under a secret key, so no text is made to collide.
+The bits that are sent and the hash range, 20 bits of the other polynomial, identify a window. Two different windows
+among N are expected to be taken for the same N^2 / 2^(1 + bits + log2(partitions)) times, and as many bytes are sent,
+8 at least, as keep that below DOUBT for the bytes of text there are. The polynomials are modulo primes and the words'
+values are hashes under secret keys, so no text is made to collide.
 
 Rows packed by hash range take the place of one Spark row a window, which doesn't fit the disk limit (see README).
 
 Defined results. Null or empty text: no words, kept text empty. Fewer than 13 words: nothing goes. Null doc_id:
 larger than every other, equal to each other null. Rows with one doc_id: none is smaller than the other; a report
-carries 64 bits of its window's hash, so that another row's text under the same doc_id doesn't take it. A very long
+carries 48 bits of its window's hash, so that another row's text under the same doc_id doesn't take it. A very long
 text is read in pieces of PIECE bytes; the task that cuts it holds it and 24 bytes a word. Extra columns aren't read.
 Empty table: empty result.
 """
@@ -28,58 +29,53 @@ Empty table: empty result.
 from __future__ import annotations
 
 import hashlib
-import os
 import random
 import re
 import struct
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import home, homes, partitions, pieces, quoted, text_size
 
 WINDOW = 13
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Windows whose hashes are compared at once.
-PASS = 8_000_000
+PASS = 4_000_000
 #: Bytes of text whose words are hashed at once.
 PIECE = 2_000_000
 #: Parts of a partition in which texts and reports meet.
 STEPS = 4
 #: Bytes of text a partition has at most, on average.
 SHARE = 256_000_000
-WORDS = 1_000_000
+#: Expected number of windows that are taken for others, at most.
+DOUBT = 1e-3
+CHECK = np.uint64(2**48 - 1)
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 P61, P31 = np.uint64(2**61 - 1), np.uint64(2**31 - 1)
 SCHEMA = "part int, step int, kind int, a binary, b binary"
 
-_memo: dict[bytes, Words] = {}
-
-
 class Key:
-    """What one run draws: the digests' key and the polynomials' bases."""
+    """What one run draws: the keys of the words' digests and the polynomials' bases."""
 
     def __init__(self):
         draw = random.SystemRandom()
-        self.digest, self.base61, self.base31 = os.urandom(16), draw.randrange(2**32, 2**61 - 2), draw.randrange(2**16, 2**31 - 2)
-
+        letter = lambda: draw.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_")
+        self.first, self.second = ("".join(letter() for _ in range(16)) for _ in range(2))
+        self.base61, self.base31 = draw.randrange(2**32, 2**61 - 2), draw.randrange(2**16, 2**31 - 2)
 
-class Words(dict):
-    """A word's value, 16 bytes; a worker remembers WORDS words."""
 
-    def __init__(self, key: bytes):
-        super().__init__()
-        self.key = key
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = got = hashlib.blake2b(word, digest_size=16, key=self.key).digest()
-        return got
+def word_values(words: list[bytes], key: str) -> np.ndarray:
+    """Each word's SipHash under the key, 64 bits."""
+    column = np.empty(len(words), object)
+    column[:] = words
+    return hash_array(column, hash_key=key, categorize=False)
 
 
 def times61(a: np.ndarray, b: int) -> np.ndarray:
@@ -125,27 +121,28 @@ def window_hashes(texts: list[bytes], key: Key, window: int = WINDOW) -> tuple[n
 
     The first has 64 bits: 61 of one polynomial and 3 of the other; the second has the other's 28 further bits.
     """
-    if key.digest not in _memo:
-        _memo.clear()
-        _memo[key.digest] = Words(key.digest)
-    value = _memo[key.digest].__getitem__
-    n, found = [], []
+    n, words, one, two = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for t in texts:
         count = 0
-        for words in split(t):
-            count += len(words)
-            found.append(b"".join(map(value, words)))
+        for part in split(t):
+            count += len(part)
+            words += part
+            if len(words) > PIECE // 4:
+                one.append(word_values(words, key.first))
+                two.append(word_values(words, key.second))
+                words = []
         n.append(count)
-    n = np.array(n, np.int64)
-    both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+    one.append(word_values(words, key.first))
+    two.append(word_values(words, key.second))
+    n, one, two = np.array(n, np.int64), np.concatenate(one), np.concatenate(two)
     each = np.maximum(n - window + 1, 0)
     row = np.repeat(np.arange(len(n)), each)
     pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     begin = (np.cumsum(n) - n)[row] + pos
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), row, pos, n
-    h = polynomial(fold61(both[:, 0]), window, key.base61, int(P61), times61, fold61)[begin]
-    g = polynomial(fold31(both[:, 1]), window, key.base31, int(P31), lambda a, b: fold31(a * np.uint64(b)), fold31)[begin]
+    h = polynomial(fold61(one), window, key.base61, int(P61), times61, fold61)[begin]
+    g = polynomial(fold31(two), window, key.base31, int(P31), lambda a, b: fold31(a * np.uint64(b)), fold31)[begin]
     return h | (g << np.uint64(61)), g >> np.uint64(3), row, pos, n
 
 
@@ -242,7 +239,7 @@ def reports(doc: np.ndarray, null: np.ndarray, pos: np.ndarray, check: np.ndarra
         d, z, p = doc[lo : lo + size], null[lo : lo + size], pos[lo : lo + size]
         begin, count = runs(d, z)
         step = np.repeat(np.arange(len(begin)), count)
-        yield *divmod(int(target[lo]), STEPS), packed(np.diff(d[begin], prepend=0), z[begin], count, gaps(step, p), check[lo : lo + size].view(np.int64))
+        yield *divmod(int(target[lo]), STEPS), packed(np.diff(d[begin], prepend=0), z[begin], count, gaps(step, p), (check[lo : lo + size] & CHECK).view(np.int64))
 
 
 def _map(n: int, window: int, digest_bytes: int, key: Key):
@@ -330,7 +327,7 @@ def _reduce(n: int, digest_bytes: int):
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, kept_text string"
 
 
-def _cut(window: int, with_text: bool, key: Key, digest_bytes: int):
+def _cut(window: int, with_text: bool, key: Key):
     def told(blobs: list[bytes]) -> dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]:
         """By document: positions and hashes."""
         out: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -341,28 +338,47 @@ def _cut(window: int, with_text: bool, key: Key, digest_bytes: int):
                 out.setdefault((i, bool(z)), []).append((pos[a:b], check[a:b]))
         return out
 
-    def cut(raw: bytes, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, int, bytes]:
+    def cut(raw: bytes, found: list[tuple[np.ndarray, np.ndarray]], alone: bool) -> tuple[int, int, int, bytes]:
         words = [w for part in split(raw) for w in part]
         if not found or len(words) < window:
             return len(words), 0, 0, b" ".join(words)
-        p, c = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).view(np.uint64)
-        c, p = c[p <= len(words) - window], p[p <= len(words) - window]
-        h = window_hashes([raw], key, window)[0]
-        if digest_bytes < 8:
-            c, h = c & np.uint64(2 ** (8 * digest_bytes) - 1), h & np.uint64(2 ** (8 * digest_bytes) - 1)
-        p = np.unique(p[h[p] == c])
+        p = np.concatenate([x[0] for x in found])
+        if not alone:  # reports may be another row's
+            c = np.concatenate([x[1] for x in found]).view(np.uint64)
+            c, p = c[p <= len(words) - window], p[p <= len(words) - window]
+            p = p[(window_hashes([raw], key, window)[0][p] & CHECK) == c]
+        p = np.unique(p)
         edge = np.zeros(len(words) + 1, np.int32)
         edge[p] += 1
         edge[p + window] -= 1
         hit = np.cumsum(edge)[:-1] > 0
-        return len(words), int(hit.sum()), int((np.diff(hit.astype(np.int8), prepend=0) == 1).sum()), b" ".join([words[x] for x in np.flatnonzero(~hit).tolist()])
+        return len(words), int(hit.sum()), int((np.diff(hit.astype(np.int8), prepend=0) == 1).sum()), b" ".join(list(compress(words, (~hit).tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, blobs, found = -1, [], {}
+        held: tuple[int | None, bytes] | None = None  # the row before, which is alone unless the next has its key
+        at, alone = None, True
+
+        def done(out: list) -> None:
+            i, raw = held
+            n, gone, cuts, kept = cut(raw, found.get(at, []), alone)
+            out.append((i, n, gone, hashlib.sha256(kept).hexdigest(), cuts, kept.decode() if with_text else None))
+
+        def batch_of(out: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])
+
         for batch in batches:
-            out = []
-            steps, kinds = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            out: list[tuple] = []
+            steps, kinds, keys, ids = np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(5).to_pylist(), batch.column(6).to_pylist()
             for k in range(batch.num_rows):
+                own = (keys[k], ids[k] is None)
+                same = kinds[k] != 1 and own == at and steps[k] == step
+                if held is not None:
+                    alone &= not same
+                    done(out)
+                    held = None
+                alone = not same
                 if steps[k] != step:
                     step, blobs, found = steps[k], [], {}
                 if kinds[k] == 1:
@@ -370,20 +386,24 @@ def _cut(window: int, with_text: bool, key: Key, digest_bytes: int):
                     continue
                 if blobs:  # all reports of a step come before its first text
                     found, blobs = told(blobs), []
-                i, raw = batch.column(6)[k].as_py(), batch.column(7)[k]
-                raw = raw.as_buffer().to_pybytes() if raw.is_valid else b""
-                n, gone, cuts, kept = cut(raw, found.get((batch.column(5)[k].as_py(), i is None), []))
-                out.append((i, n, gone, hashlib.sha256(kept).hexdigest(), cuts, kept.decode() if with_text else None))
+                raw = batch.column(7)[k]
+                at, held = own, (ids[k], raw.as_buffer().to_pybytes() if raw.is_valid else b"")
             if out:
-                kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), kinds_out, strict=True)], [x.split()[0] for x in OUT.split(", ")])
+                yield batch_of(out)
+        if held is not None:
+            out = []
+            done(out)
+            yield batch_of(out)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, digest_bytes: int = 9) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, digest_bytes: int | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256, n_intervals, kept_text (null without with_text)."""
-    n, key = max(partitions(docs.sparkSession), -(-text_size(docs, text_col) // SHARE)), Key()
+    size, key = text_size(docs, text_col), Key()
+    n = max(partitions(docs.sparkSession), -(-size // SHARE))
+    if digest_bytes is None:  # a word and its gap are two bytes or more
+        digest_bytes = next((b for b in range(8, 11) if (size / 2) ** 2 / 2 ** (1 + 8 * b) / min(n, 2**20) <= DOUBT), 11)
     text = quoted(text_col).cast("string")
     docs = docs.select(F.coalesce(quoted(id_col).cast("long"), F.xxhash64(text)).alias("key"), quoted(id_col).cast("long").alias("doc_id"), text.alias("text"))
     windows = docs.select("key", F.col("doc_id").isNull().alias("null"), "text").mapInArrow(_map(n, window, digest_bytes, key), SCHEMA).repartitionById(n, "part")
@@ -391,4 +411,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at = home(F.col("key"), n * STEPS)
     texts = docs.select(F.floor(at / STEPS).cast("int").alias("part"), F.pmod(at, F.lit(STEPS)).cast("int").alias("step"), F.lit(2).alias("kind"), "key", "doc_id", "text")
     both = found.unionByName(texts, allowMissingColumns=True).select("part", "step", "kind", "a", "b", "key", "doc_id", "text")
-    return both.repartitionById(n, "part").sortWithinPartitions("step", "kind").mapInArrow(_cut(window, with_text, key, digest_bytes), OUT)
+    return both.repartitionById(n, "part").sortWithinPartitions("step", "kind", "key", F.col("doc_id").isNull()).mapInArrow(_cut(window, with_text, key), OUT)

@@ -72,12 +72,11 @@ def test_small_blocks_and_empty(spark):
 def test_polynomial(window):
     key, rng = substring.Key(), random.Random(window)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(60))).encode() for _ in range(9)]
-    value = substring.Words(key.digest)
     h, second, row, pos, n = substring.window_hashes(texts, key, window)
     got = {(r, p): (int(a), int(b)) for a, b, r, p in zip(h, second, row, pos)}
     want = {}
     for r, t in enumerate(texts):
-        ws = [tuple(int.from_bytes(value[w][k : k + 8], "little") for k in (0, 8)) for w in t.split()]
+        ws = [tuple(int(substring.word_values([w], k)[0]) for k in (key.first, key.second)) for w in t.split()]
         assert n[r] == len(ws)
         for p in range(len(ws) - window + 1):
             a = sum(x[0] * key.base61 ** (window - 1 - i) for i, x in enumerate(ws[p : p + window])) % (2**61 - 1)
