@@ -37,8 +37,8 @@ DISTANCE = 3
 FRONT = 1_000_000
 #: Node pairs of so few pairs of fingerprints are compared at once.
 FEW = 8
-#: Fingerprints in a task's node: LEAST or a 32nd of all, MOST at most unless 4096 nodes of that size don't hold all.
-LEAST, MOST = 1 << 14, 1 << 20
+#: Fingerprints in a task's node: a SHARE-th of all and a quarter more, MOST at most unless 4096 nodes of that size don't hold all.
+SHARE, MOST = 16, 1 << 20
 #: Bits by which counts go deeper.
 STEP = 8
 
@@ -148,13 +148,13 @@ class Top:
     def __init__(self, fps: DataFrame, distance: int = DISTANCE, cap: int | None = None):
         self.distance, self.count = distance, {(0, 0): fps.count()}
         n = self.count[0, 0]
-        self.cap = cap or max(LEAST, min(MOST, n >> 5), n >> 12)
+        self.cap = cap or max(1, min(MOST, 5 * n // (4 * SHARE)), n >> 12)
         depth, large = 0, [0] if n > self.cap else []
         while large and depth < 64:
             below = fps.select(prefix(depth).alias("node"), prefix(depth + STEP).alias("child"))
             if depth:
                 nodes = fps.sparkSession.createDataFrame([(x,) for x in large], "node long")
-                below = below.join(F.broadcast(nodes), "node", "left_semi")  # a 32nd of the nodes that hold all, 4096 at most
+                below = below.join(F.broadcast(nodes), "node", "left_semi")  # nodes of more than `cap`, so n / cap at most
             for child, found in below.groupBy("child").count().collect():
                 child %= 2**64  # of 64 bits it comes signed
                 for d in range(depth + STEP, depth, -1):
