@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Multipliers of units.
-UNITS = {"": 1, "KiB": 1024, "MiB": 1024**2, "GiB": 1024**3, "%": 1}
+#: Multipliers of units, in small letters; any other word counts as none.
+UNITS = {"gib": 1 << 30, "mib": 1 << 20, "kib": 1 << 10, "g": 1 << 30, "m": 1 << 20, "k": 1 << 10}
 #: Extension to language.
 LANGUAGES = {"rs": "rust", "py": "python", "go": "go", "js": "javascript", "ts": "typescript", "html": "html", "c": "c", "java": "java"}
 
@@ -53,11 +53,30 @@ def archive_name(first: Column, last: Column) -> Column:
 
 
 def quantity(c: Column) -> Column:
-    """A number with thousands commas and a unit, as a double."""
-    number = F.regexp_replace(F.regexp_extract(c, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").cast("double")
-    unit = F.regexp_extract(c, r"[0-9]\s*(KiB|MiB|GiB|%)", 1)
+    """A number with thousands commas and a unit or another word after it, as a double."""
+    number = F.regexp_replace(F.regexp_extract(c, r"([0-9,]*\.?[0-9]+)", 1), ",", "").cast("double")
     times = F.create_map(*[F.lit(x) for u, n in UNITS.items() for x in (u, float(n))])
-    return number * times[unit]
+    return number * F.coalesce(F.try_element_at(times, F.lower(F.regexp_extract(c, r"[0-9]\s*([A-Za-z]+)", 1))), F.lit(1.0))
+
+
+def strict_address(c: Column) -> Column:
+    """The 32 bytes of 64 hex digits of either case; null for anything else, signs included."""
+    return F.when(is_address(c), F.unhex(c))
+
+
+def minted(seed: str, counter: Column) -> Column:
+    """An id of 32 hex digits from a seed and a counter, so that a run can be repeated."""
+    return F.md5(F.concat_ws("|", F.lit(seed), counter.cast("string")).cast("binary"))
+
+
+def display(raw: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 is replaced."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
+def rename_kind(was: Column, now: Column) -> tuple[Column, Column]:
+    """`rename` within one folder or `move`, and whether the extension changed."""
+    return F.when(dirname(was) == dirname(now), "rename").otherwise("move"), extension(was) != extension(now)
 
 
 def mode_bits(c: Column) -> Column:

@@ -59,6 +59,39 @@ def stage_state(scored: DataFrame) -> DataFrame:
     return scored.groupBy("stage").agg(F.when(bad, "BLOCKED").when(open_, "IN PROGRESS").otherwise("CLEAR").alias("state"), F.count("*").alias("gates"))
 
 
+def delivery(stages: DataFrame) -> DataFrame:
+    """(delivery, reasons) from (stage, state, gates): delivered only if every stage is clear; reasons name those that aren't, in order."""
+    open_ = F.array_sort(F.collect_list(F.when(F.col("state") != "CLEAR", F.concat_ws(": ", F.col("stage").cast("string"), "state"))))
+    word = F.when(F.count_if(F.col("state") == "BLOCKED") > 0, "BLOCKED").when(F.count_if(F.col("state") != "CLEAR") > 0, "IN PROGRESS").otherwise("DELIVERED")
+    return stages.agg(word.alias("delivery"), F.array_join(open_, "; ").alias("reasons"))
+
+
+#: Waivers of performance gates that may hold at once.
+MOST_PERF_WAIVERS = 2
+
+
+def waiver_cap(waived: DataFrame) -> DataFrame:
+    """(perf_waivers, over_cap) of waivers (gid, perf, problems): those of performance gates that hold."""
+    n = F.count_if(F.col("perf") & (F.size("problems") == 0))
+    return waived.agg(n.alias("perf_waivers"), (n > MOST_PERF_WAIVERS).alias("over_cap"))
+
+
+def chain(scored: DataFrame, baselines: DataFrame, waived: DataFrame, frozen: DataFrame) -> DataFrame:
+    """(gid, stage, status, note): what a run comes to after all steps, in order: files that were frozen and changed
+    make a result stale; a failure with a waiver that holds is waived; a result worse than its baseline fails.
+
+    scored: (gid, stage, value, status, lower_is_better, timing); frozen: (gid, finding), one row a change.
+    """
+    stale = frozen.groupBy("gid").agg(F.count("*").alias("changes"))
+    held = waived.where(F.size("problems") == 0).select("gid", F.lit(True).alias("held"))
+    worse = ratchet(scored, baselines).select("gid", "worse", "lost")
+    df = scored.join(stale, "gid", "left").join(held, "gid", "left").join(worse, "gid", "left")
+    regressed = F.coalesce(F.col("worse") | F.col("lost"), F.lit(False))
+    note = F.when(F.col("changes").isNotNull() & (F.col("status") != "N/A-yet"), "frozen files changed").when((F.col("status") == "FAIL") & F.col("held"), "waived").when((F.col("status") == "PASS") & regressed, "worse than baseline")
+    word = F.when(note == "frozen files changed", "STALE").when(note == "waived", "WAIVED").when(note == "worse than baseline", "FAIL").otherwise(F.col("status"))
+    return df.select("gid", "stage", word.alias("status"), note.alias("note"))
+
+
 def licences(deps: DataFrame) -> DataFrame:
     """(name, verdict): OR needs one allowed alternative, AND every part; what isn't determined is a violation too."""
     alternatives = F.split(F.coalesce("licence", F.lit("")), r"(?i)\s+OR\s+|/")

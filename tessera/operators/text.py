@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -11,8 +13,9 @@ TRAILERS = ["Co-Authored-By", "Signed-off-by", "Reviewed-by", "Generated-by", "A
 CI_AUTOMATION = (
     r"(?i)dependabot|renovate|github[- ]actions|greenkeeper|snyk[- ]bot|mergify|codecov|allcontributors|pre-commit-ci|semantic-release|imgbot|whitesource|"
     r"restyled|stale\[bot\]|netlify|vercel\[bot\]|azure-pipelines|travis|appveyor|circleci|jenkins|buildkite|release-please|changeset-bot|weblate|transifex|"
-    r"crowdin|pyup|scala-steward|bors|autoroller|gitbot|update-bot|k8s-ci-robot|openshift-|prow|\[bot\]|\bbot@|^bot$|-bot\b|\bbot-"
+    r"crowdin|pyup|scala-steward|bors|autoroller|gitbot|update-bot|k8s-ci-robot|openshift-|prow"
 )
+BOT_MARK = r"(?i)\[bot\]|\bbot@|^bot$|-bot\b|\bbot-"
 AUTHORING_AGENT = (
     r"(?i)\bclaude\b|copilot|\bcursor\b|\bdevin\b|\bcodex\b|\baider\b|\bsweep\b|chatgpt|openai|anthropic|\bgpt-?[0-9]|codeium|tabnine|sourcegraph[- ]cody|"
     r"\bcody\b|gemini[- ]code|jules\b|\bdroid\b|factory[- ]ai"
@@ -67,13 +70,79 @@ def tier(similarity: Column, equal: Column) -> Column:
 
 def identity(name: Column, email: Column) -> Column:
     blob = F.concat_ws(" ", name, email)
-    return F.when(blob.rlike(AUTHORING_AGENT), "authoring-agent").when(blob.rlike(CI_AUTOMATION), "ci-automation")
+    return F.when(blob.rlike(AUTHORING_AGENT), "authoring-agent").when(blob.rlike(CI_AUTOMATION) | blob.rlike(BOT_MARK), "ci-automation")
 
 
 def has_trailer(text: Column, trailer: str) -> Column:
     return text.rlike(rf"(?im)^{trailer}:\s*(.+)$")
 
 
+def provenance(commits: DataFrame) -> DataFrame:
+    """Adds to commits (author, author_email, committer, committer_email, body): identity of author, else committer;
+    co_authored, agent_co_authored, structured, agent_route, any; and a column a trailer."""
+    own = F.coalesce(identity(F.col("author"), F.col("author_email")), identity(F.col("committer"), F.col("committer_email")))
+    names = F.regexp_extract_all("body", F.lit(r"(?im)^co-authored-by:\s*(.+)$"), F.lit(1))
+    found = {t: has_trailer(F.col("body"), t) for t in TRAILERS}
+    df = commits.withColumns({"identity": own, "agent_co_authored": F.exists(names, lambda n: identity(n, n).isNotNull())} | {trailer_column(t): c for t, c in found.items()})
+    df = df.withColumns({"co_authored": F.col("co_authored_by"), "structured": reduce(Column.__or__, [F.col(trailer_column(t)) for t in TRAILERS])})
+    return df.withColumns({"agent_route": F.col("identity").isNotNull() | F.col("agent_co_authored"), "any": F.col("identity").isNotNull() | F.col("structured")})
+
+
+def trailer_column(trailer: str) -> str:
+    return trailer.lower().replace("-", "_")
+
+
+def probe(commits: DataFrame, recent: int = 2000) -> DataFrame:
+    """Per repo (repo, i: 0 for the newest) the counters of `provenance`, of each trailer, and of the newest `recent`."""
+    df, c = provenance(commits), F.col
+    n = lambda x: F.count_if(x)
+    new = c("i") < recent
+    out = df.groupBy("repo").agg(
+        F.count("*").alias("commits"), n(c("identity").isNotNull()).alias("s1"), n(c("identity") == "authoring-agent").alias("s1_agent"), n(c("identity") == "ci-automation").alias("s1_ci"),
+        n(c("co_authored")).alias("s2"), n(c("agent_co_authored")).alias("s2_agent"), n(c("structured")).alias("s3"), n(c("any")).alias("any"), n(c("agent_route")).alias("agent_route"),
+        *[n(c(trailer_column(t))).alias(trailer_column(t)) for t in TRAILERS], n(new).alias("recent"), n(new & c("agent_route")).alias("recent_agent_route"), n(new & c("any")).alias("recent_any"),
+    )
+    share = lambda a, b: F.round(c(a) * 100.0 / F.greatest(c(b), F.lit(1)), 6)
+    return out.withColumns({"pct_agent_route": share("agent_route", "commits"), "pct_any": share("any", "commits"), "pct_recent_agent_route": share("recent_agent_route", "recent"), "pct_recent_any": share("recent_any", "recent")})
+
+
+def verdict(c1: Column, c2: Column, c3: Column) -> Column:
+    ok = (c1 >= 5) & (c2 >= 20)
+    return F.when(ok & (c3 >= 3), "GO").when(ok & (3 - c3 < 1), "WEAK-GO").otherwise("NO-GO")
+
+
+#: The outcomes of a replayed merge.
+BUCKETS = ["ERROR", "REPLAY_CONFLICT", "CLEAN_MATCH", "CLEAN_DIVERGE_NORMALIZED", "EXCLUDED_EVIL", "CLEAN_DIVERGE"]
+
+
+def replayed(merges: DataFrame, paths: DataFrame, most: int = 80) -> DataFrame:
+    """(merge, bucket, diff_paths, evil_paths) from merges (merge, has_base, status) and paths (merge, path, and the
+    contents replayed, recorded, p1, p2, base; null for no file).
+
+    No base or a status above 1: error; 1: conflict. Of the paths that differ the first `most` are looked at: equal in
+    normal form, or not; those whose recorded form is none of the others' were written during the merge (five are named).
+    """
+    sides = ["replayed", "recorded", "p1", "p2", "base"]
+    form = {c: F.sha2(normalized(F.col(c)).cast("binary"), 256) for c in sides}
+    differ = ~F.col("replayed").eqNullSafe(F.col("recorded"))
+    own = paths.where(differ).withColumn("i", F.row_number().over(Window.partitionBy("merge").orderBy("path")))
+    own = own.select("merge", "path", "i", *[form[c].alias(c) for c in sides])
+    both = F.col("replayed").isNotNull() & F.col("recorded").isNotNull()
+    same = F.coalesce(both & (F.col("replayed") == F.col("recorded")), F.lit(False))
+    known = reduce(Column.__or__, [F.coalesce(F.col("recorded") == F.col(c), F.lit(False)) for c in ("replayed", "p1", "p2", "base")])
+    seen = F.col("i") <= most
+    g = own.groupBy("merge").agg(
+        F.count("*").alias("diff_paths"), F.bool_and(~seen | same).alias("normal"), F.array_sort(F.collect_list(F.when(seen & both & ~same & ~known, F.col("path")))).alias("evil")
+    )
+    df = merges.join(g, "merge", "left")
+    bucket = (
+        F.when(~F.col("has_base") | (F.col("status") > 1), "ERROR").when(F.col("status") == 1, "REPLAY_CONFLICT").when(F.col("diff_paths").isNull(), "CLEAN_MATCH")
+        .when(F.col("normal"), "CLEAN_DIVERGE_NORMALIZED").when(F.size("evil") > 0, "EXCLUDED_EVIL").otherwise("CLEAN_DIVERGE")
+    )
+    clean = bucket.isin("EXCLUDED_EVIL")
+    return df.select(*merges.columns, bucket.alias("bucket"), F.coalesce("diff_paths", F.lit(0)).cast("long").alias("diff_paths"), F.array_join(F.when(clean, F.slice("evil", 1, 5)).otherwise(F.array().cast("array<string>")), ",").alias("evil_paths"))
+
+
 def merge_bucket(paths: DataFrame) -> DataFrame:
     """(merge, bucket, evil) from (merge, replayed, recorded, p1, p2, base), normal forms' hashes, null for no file."""
     differ = ~F.col("replayed").eqNullSafe(F.col("recorded"))

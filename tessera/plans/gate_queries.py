@@ -31,9 +31,24 @@ def gate_status(spark, d):
     return scored(spark, d)
 
 
-@query(GATES + "select stage, case when bool_or(status in ('FAIL', 'ERROR', 'STALE')) then 'BLOCKED' when bool_or(status = 'N/A-yet') then 'IN PROGRESS' else 'CLEAR' end state, count(*) gates from s where gid % 5 <> 4 or stage <> 1 group by 1")
+@query(GATES + "select stage, case when bool_or(status in ('FAIL', 'ERROR', 'STALE')) then 'BLOCKED' when bool_or(status = 'N/A-yet') then 'IN PROGRESS' else 'CLEAR' end state, count(*) gates from s group by 1")
 def stage_state(spark, d):
-    return gates.stage_state(scored(spark, d).where("gid % 5 <> 4 or stage <> 1"))
+    return gates.stage_state(scored(spark, d))
+
+
+@query(GATES + """
+, t as (select stage + 10 * (gid % 2)::int stage, case when stage = 3 then 'PASS' when stage = 1 and gid % 2 = 0 then case when status in ('FAIL', 'ERROR') then 'N/A-yet' else status end else status end status from s),
+st as (select stage, case when bool_or(status in ('FAIL', 'ERROR', 'STALE')) then 'BLOCKED' when bool_or(status = 'N/A-yet') then 'IN PROGRESS' else 'CLEAR' end state from t group by 1)
+select 'all' scope, case when bool_or(state = 'BLOCKED') then 'BLOCKED' when bool_or(state <> 'CLEAR') then 'IN PROGRESS' else 'DELIVERED' end delivery, coalesce(string_agg(case when state <> 'CLEAR' then stage || ': ' || state end, '; ' order by stage::varchar || ': ' || state), '') reasons from st
+union all select 'open', case when bool_or(state = 'BLOCKED') then 'BLOCKED' when bool_or(state <> 'CLEAR') then 'IN PROGRESS' else 'DELIVERED' end, coalesce(string_agg(case when state <> 'CLEAR' then stage || ': ' || state end, '; ' order by stage::varchar || ': ' || state), '') from st where stage in (1, 3)
+union all select 'clear', case when bool_or(state = 'BLOCKED') then 'BLOCKED' when bool_or(state <> 'CLEAR') then 'IN PROGRESS' else 'DELIVERED' end, coalesce(string_agg(case when state <> 'CLEAR' then stage || ': ' || state end, '; ' order by stage::varchar || ': ' || state), '') from st where stage in (3, 13)""")
+def delivery_state(spark, d):
+    """Delivery over stages of which some are blocked, some open and some clear."""
+    k, stage, status = F.col("gid"), F.col("stage"), F.col("status")
+    word = F.when(stage == 3, "PASS").when((stage == 1) & (k % 2 == 0) & status.isin("FAIL", "ERROR"), "N/A-yet").otherwise(status)
+    states = gates.stage_state(scored(spark, d).select("gid", word.alias("status"), (stage + 10 * (k % 2)).cast("int").alias("stage")))
+    out = [gates.delivery(states.where(which)).withColumn("scope", F.lit(name)) for name, which in (("all", "true"), ("open", "stage in (1, 3)"), ("clear", "stage in (3, 13)"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(GATES + """
@@ -49,30 +64,70 @@ def ratchet(spark, d):
     return gates.ratchet(now, base)
 
 
-@query(GATES + """
-, w as (select gid, case when gid % 4 = 0 then 'HARD' else 'SOFT' end type, gid % 9 iterations, gid % 5 strategies, case when gid % 8 <> 0 then (gid % 37)::double end prior, (gid % 50)::double v, target t, gid % 3 = 0 perf, lower from g)
-select gid, array_to_string(list_filter([case when type = 'HARD' then 'hard' end, case when iterations < 5 then 'iterations' end, case when strategies < 3 then 'strategies' end, case when prior is null then 'no-history' end,
-  case when abs(v - t) > abs(prior - t) * 1.02 then 'regressing' end, case when perf and t <> 0 and case when lower then v / t else t / nullif(v, 0) end > 2 then 'over-cap' end], lambda x: x is not null), ',') problems from w""")
+WAIVERS = GATES + """
+, w as (select gid, case when gid % 4 = 0 then 'HARD' else 'SOFT' end type, gid % 9 iterations, gid % 5 strategies, case when gid % 8 <> 0 then (gid % 37)::double end prior, (gid % 50)::double v, target t, gid % 3 = 0 perf, lower from g),
+pr as (select gid, perf, array_to_string(list_filter([case when type = 'HARD' then 'hard' end, case when iterations < 5 then 'iterations' end, case when strategies < 3 then 'strategies' end, case when prior is null then 'no-history' end,
+  case when abs(v - t) > abs(prior - t) * 1.02 then 'regressing' end, case when perf and t <> 0 and case when lower then v / t else t / nullif(v, 0) end > 2 then 'over-cap' end], lambda x: x is not null), ',') problems from w)
+"""
+
+
+@query(WAIVERS + "select gid, problems from pr")
 def waiver_check(spark, d):
+    return waived(spark, d).select("gid", F.array_join("problems", ",").alias("problems"))
+
+
+@query(WAIVERS + "select count(*) filter (perf and problems = '') perf_waivers, count(*) filter (perf and problems = '') > 2 over_cap from pr")
+def waiver_cap(spark, d):
+    """Waivers of performance gates that hold, of which there may be two."""
+    own = waived(spark, d)
+    return gates.waiver_cap(own.withColumn("perf", F.col("gid") % 3 == 0))
+
+
+@query(WAIVERS + """
+, b as (select gid, (gid % 41)::double base, gid % 2 = 0 waived, case when gid % 7 = 0 then 'FAIL' else 'PASS' end base_status from g where gid % 6 <> 0),
+x as (select s.gid, s.stage, s."value" v, s.status, g.lower, base, base_status, case when b.waived and not g.timing then 0.02 else 0.05 end tol, problems = '' held, s.gid % 15 = 4 changed from s join g using (gid) left join b using (gid) join pr using (gid)),
+y as (select *, coalesce(case when v is not null then case when lower then v > case when base > 0 then base * (1 + tol) else base + 1e-9 end else v < base * (1 - tol) end end, false) worse from x)
+select gid, stage, case when changed and status <> 'N/A-yet' then 'STALE' when status = 'FAIL' and held then 'WAIVED' when status = 'PASS' and worse then 'FAIL' else status end status,
+  case when changed and status <> 'N/A-yet' then 'frozen files changed' when status = 'FAIL' and held then 'waived' when status = 'PASS' and worse then 'worse than baseline' end note from y""")
+def gate_chain(spark, d):
+    """Run, freeze, waiver and ratchet in one: what each gate comes to, and why."""
+    k = F.col("gid")
+    now = scored(spark, d).withColumns({"lower_is_better": k % 4 != 0, "timing": k % 3 == 0})
+    base = table(spark, d, "part").select(F.col("p_partkey").alias("gid")).where(k % 6 != 0)
+    base = base.select("gid", (k % 41).cast("double").alias("base"), (k % 2 == 0).alias("waived"), F.when(k % 7 == 0, "FAIL").otherwise("PASS").alias("base_status"))
+    frozen = table(spark, d, "part").select(F.col("p_partkey").alias("gid"), F.lit("changed").alias("finding")).where(k % 15 == 4)
+    return gates.chain(now, base, waived(spark, d), frozen.union(frozen))
+
+
+def waived(spark, d):
     k = F.col("p_partkey")
     w = table(spark, d, "part").select(
         k.alias("gid"), F.when(k % 4 == 0, "HARD").otherwise("SOFT").alias("type"), (k % 9).alias("iterations"), (k % 5).alias("strategies"), F.when(k % 8 != 0, (k % 37).cast("double")).alias("before"),
         (k % 50).cast("double").alias("value"), F.col("p_size").cast("double").alias("target"), (k % 3 == 0).alias("perf"), (k % 4 != 0).alias("lower_is_better"),
     )
-    return gates.waivers(w).select("gid", F.array_join("problems", ",").alias("problems"))
+    return gates.waivers(w)
 
 
-DEPS = [("a", "MIT OR Apache-2.0"), ("b", "GPL-3.0"), ("c", "MIT AND GPL-3.0"), ("d", "GPL-3.0 OR MIT"), ("e", None), ("f", "Weird-1.0"), ("g", "MIT/Apache-2.0"), ("h", "(MIT AND BSD-3-Clause) or GPL-2.0"), ("i", "Apache-2.0 WITH LLVM-exception"), ("j", "GPL-2.0 OR AGPL-3.0"), ("k", "Weird-1.0 OR GPL-2.0")]
+LICENCES = ["MIT OR Apache-2.0", "GPL-3.0", "MIT AND GPL-3.0", "GPL-3.0 OR MIT", "", "Weird-1.0", "MIT/Apache-2.0", "(MIT AND BSD-3-Clause) or GPL-2.0", "Apache-2.0 WITH LLVM-exception", "GPL-2.0 OR AGPL-3.0", "Weird-1.0 OR GPL-2.0"]
 
 
-@query("""
-with d(name, licence) as (values ('a', 'MIT OR Apache-2.0'), ('b', 'GPL-3.0'), ('c', 'MIT AND GPL-3.0'), ('d', 'GPL-3.0 OR MIT'), ('e', null), ('f', 'Weird-1.0'), ('g', 'MIT/Apache-2.0'), ('h', '(MIT AND BSD-3-Clause) or GPL-2.0'), ('i', 'Apache-2.0 WITH LLVM-exception'), ('j', 'GPL-2.0 OR AGPL-3.0'), ('k', 'Weird-1.0 OR GPL-2.0')),
-a as (select name, unnest(regexp_split_to_array(coalesce(licence, ''), '(?i)\\s+OR\\s+|/')) alt, generate_subscripts(regexp_split_to_array(coalesce(licence, ''), '(?i)\\s+OR\\s+|/'), 1) i from d),
-p as (select name, i, unnest(regexp_split_to_array(regexp_replace(alt, '[()]', '', 'g'), '(?i)\\s+AND\\s+')) part from a),
-j as (select name, i, bool_and(trim(part) in ('MIT', 'Apache-2.0', 'BSD-3-Clause', 'Apache-2.0 WITH LLVM-exception')) ok, bool_or(trim(part) in ('GPL-2.0', 'GPL-3.0', 'AGPL-3.0')) bad from p group by all)
-select name, case when bool_or(ok) then 'allowed' when bool_and(bad) then 'incompatible' else 'unknown' end verdict from j group by 1""")
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"""
+with d as (select p_partkey, case when p_partkey % 97 <> 0 then [{", ".join(f"'{x}'" for x in LICENCES)}][p_partkey % {len(LICENCES)} + 1] || case p_size % 3 when 0 then '' when 1 then ' OR ' else ' AND ' end || case when p_size % 3 = 0 then '' else [{", ".join(f"'{x}'" for x in LICENCES)}][p_partkey // 13 % {len(LICENCES)} + 1] end end licence from part),
+a as (select p_partkey, unnest(regexp_split_to_array(coalesce(licence, ''), '(?i)\\s+OR\\s+|/')) alt, generate_subscripts(regexp_split_to_array(coalesce(licence, ''), '(?i)\\s+OR\\s+|/'), 1) i from d),
+p as (select p_partkey, i, unnest(regexp_split_to_array(regexp_replace(alt, '[()]', '', 'g'), '(?i)\\s+AND\\s+')) part from a),
+j as (select p_partkey, i, bool_and(trim(part) in {_in(gates.ALLOWED)}) ok, bool_or(trim(part) in {_in(gates.INCOMPATIBLE)}) bad from p group by all)
+select p_partkey::varchar "name", case when bool_or(ok) then 'allowed' when bool_and(bad) then 'incompatible' else 'unknown' end verdict from j group by 1""")
 def licence_verdicts(spark, d):
-    return gates.licences(spark.createDataFrame(DEPS, "name string, licence string"))
+    """A dependency a part, whose licence is made of one or two of a list."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    words = F.array(*map(F.lit, LICENCES))
+    of = lambda n: F.get(words, (n % len(LICENCES)).cast("int"))
+    more = F.when(size % 3 == 0, "").otherwise(F.concat(F.when(size % 3 == 1, " OR ").otherwise(" AND "), of(F.floor(k / 13))))
+    return gates.licences(table(spark, d, "part").select(k.cast("string").alias("name"), F.when(k % 97 != 0, F.concat(of(k), more)).alias("licence")))
 
 
 @query("""
@@ -94,16 +149,15 @@ def kill_rate(spark, d):
 
 
 @query("""
-with e(line, missing, "unknown") as (values (1, '', ''), (2, 'recovery', ''), (3, '', 'frobnicate'), (4, 'error,category,concept,recovery', ''), (5, 'concept', 'zap')) select * from e""")
+select event_id line, case when event_id % 11 = 0 then 'error,category,concept,recovery' else array_to_string(list_filter([case when event_id % 7 = 0 then 'error' end, case when event_id % 5 = 0 then 'category' end, case when event_type = 'error' then 'concept' end, case when event_id % 3 = 0 then 'recovery' end], lambda x: x is not null), ',') end missing,
+  case when event_id % 11 = 0 or event_id % 3 = 0 then '' when event_type in ('click', 'view') then event_type else '' end "unknown" from events""")
 def error_doc_audit(spark, d):
-    docs = [
-        (1, '{"error":"e","category":"c","concept":"k","recovery":"run `save`"}'),
-        (2, '{"error":"e","category":"c","concept":"k"}'),
-        (3, '{"error":"e","category":"c","concept":"k","recovery":"`frobnicate` then `undo`"}'),
-        (4, "not json"),
-        (5, '{"error":"e","category":"c","concept":"","recovery":"`zap` `zap`"}'),
-    ]
-    found = gates.error_audit(spark.createDataFrame(docs, "line int, json string"), ["save", "undo", "log"])
+    """An error document an event: fields that are missing or empty, and commands in the advice that don't exist; some aren't JSON."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    advice = F.concat(F.lit("run `save`, then `"), F.when(kind.isin("click", "view"), kind).otherwise("undo"), F.lit("` and `save`"))
+    doc = F.to_json(F.struct(F.when(k % 7 != 0, "e").alias("error"), F.when(k % 5 != 0, "c").alias("category"), F.when(kind == "error", "").otherwise("k").alias("concept"), F.when(k % 3 != 0, advice).alias("recovery")))
+    docs = table(spark, d, "events").select(k.alias("line"), F.when(k % 11 == 0, "not json").otherwise(doc).alias("json"))
+    found = gates.error_audit(docs, ["save", "undo", "log"])
     return found.select("line", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown"))
 
 
@@ -118,24 +172,30 @@ def fuzz_outstanding(spark, d):
 
 
 @query("""
-with j as (select n_regionkey platform, bool_and(n_nationkey % 9 <> 0) ok, bool_or(n_nationkey % 4 = 0) step from nation group by 1)
-select count(*) platforms, count(*) filter (ok and step) passed from j""")
+with j as (select n_regionkey platform, c_nationkey % 3 = 0 stale, bool_and(c_custkey % 600 <> 599) ok, bool_or(c_custkey % 4 = 0) step from customer join nation on n_nationkey = c_nationkey group by all),
+r as (select stale, count(*) platforms, count(*) filter (ok and step) passed from j group by 1)
+select stale, platforms, passed, case when stale then 0 else passed end "value" from r""")
 def platform_pass(spark, d):
-    """Platforms whose jobs all succeeded and whose needed step ran."""
-    j = table(spark, d, "nation").groupBy("n_regionkey").agg(F.bool_and(F.col("n_nationkey") % 9 != 0).alias("ok"), F.bool_or(F.col("n_nationkey") % 4 == 0).alias("step"))
-    return j.agg(F.count("*").alias("platforms"), F.count_if(F.col("ok") & F.col("step")).alias("passed"))
+    """Platforms whose jobs all succeeded and whose needed step ran; a run of another commit than the current one counts as none."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    jobs = c.select(F.col("n_regionkey").alias("platform"), (F.col("c_nationkey") % 3 == 0).alias("stale"), (F.col("c_custkey") % 600 != 599).alias("ok"), (F.col("c_custkey") % 4 == 0).alias("step"))
+    j = jobs.groupBy("platform", "stale").agg(F.bool_and("ok").alias("ok"), F.bool_or("step").alias("step"))
+    n = j.groupBy("stale").agg(F.count("*").alias("platforms"), F.count_if(F.col("ok") & F.col("step")).alias("passed"))
+    return n.withColumn("value", F.when(F.col("stale"), 0).otherwise(F.col("passed")))
 
 
 @query("""
-with a as (select p_partkey path, md5(p_name) digest, p_size mode from part where p_partkey % 9 <> 0), b as (select p_partkey path, md5(case when p_partkey % 8 = 0 then '' else p_name end) digest, case when p_partkey % 10 = 0 then 0 else p_size end mode from part where p_partkey % 11 <> 0)
+with a as (select p_partkey path, md5(p_name) digest, p_size mode, case when p_partkey % 12 = 0 then '../' || p_brand end link from part where p_partkey % 9 <> 0), b as (select p_partkey path, md5(case when p_partkey % 8 = 0 then '' else p_name end) digest, case when p_partkey % 10 = 0 then 0 else p_size + 512 end mode, case when p_partkey % 24 = 0 then null when p_partkey % 36 = 12 then '/' || p_brand when p_partkey % 12 = 0 then '../' || p_brand end link from part where p_partkey % 11 <> 0)
 select a.path, 'digest' finding from a join b using (path) where a.digest <> b.digest union all select a.path, 'mode' from a join b using (path) where a.mode & 511 <> b.mode & 511
+union all select a.path, 'link' from a join b using (path) where a.link is distinct from b.link
 union all select path, 'only-source' from a where path not in (select path from b) union all select path, 'only-target' from b where path not in (select path from a)""")
 def manifest_findings(spark, d):
-    """Where a copy isn't the original: bytes, mode, or the set of paths either way."""
+    """Where a copy isn't the original: bytes, mode's last nine bits, a link's target, or the set of paths either way."""
     p, k = table(spark, d, "part"), F.col("p_partkey")
-    a = p.where(k % 9 != 0).select(k.alias("path"), F.md5(F.col("p_name").cast("binary")).alias("da"), F.col("p_size").alias("ma"))
-    b = p.where(k % 11 != 0).select(k.alias("path"), F.md5(F.when(k % 8 == 0, "").otherwise(F.col("p_name")).cast("binary")).alias("db"), F.when(k % 10 == 0, 0).otherwise(F.col("p_size")).alias("mb"))
+    a = p.where(k % 9 != 0).select(k.alias("path"), F.md5(F.col("p_name").cast("binary")).alias("da"), F.col("p_size").alias("ma"), F.when(k % 12 == 0, F.concat(F.lit("../"), "p_brand")).alias("la"))
+    b = p.where(k % 11 != 0).select(k.alias("path"), F.md5(F.when(k % 8 == 0, "").otherwise(F.col("p_name")).cast("binary")).alias("db"), F.when(k % 10 == 0, 0).otherwise(F.col("p_size") + 512).alias("mb"), F.when(k % 24 == 0, None).when(k % 36 == 12, F.concat(F.lit("/"), "p_brand")).when(k % 12 == 0, F.concat(F.lit("../"), "p_brand")).alias("lb"))
     found = F.array_compact(F.array(
         F.when(F.col("da").isNull(), "only-target"), F.when(F.col("db").isNull(), "only-source"), F.when(F.col("da") != F.col("db"), "digest"), F.when(F.col("ma").bitwiseAND(511) != F.col("mb").bitwiseAND(511), "mode"),
+        F.when(F.col("da").isNotNull() & F.col("db").isNotNull() & ~F.col("la").eqNullSafe(F.col("lb")), "link"),
     ))
     return a.join(b, "path", "full_outer").select("path", F.explode(found).alias("finding"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.tables import table
+from ..functions.tables import shared_path, table, temporary
 from ..operators import intervals as iv
 from ..operators import stats
-from .history import SQL, intervals
+from ..sources import files
+from .history import SQL, checkpoints, intervals, line_chunks, oplog
 from .registry import query
 
 
@@ -59,34 +60,91 @@ def geometric_factor(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r(scalar.factor(F.col("l_quantity") / 25)).alias("factor"))
 
 
-CORPUS = """
-with l as (select doc_id, text, string_split(text, chr(10)) ls from documents),
-m as (select count(*) files, sum(strlen(text)) bytes, sum(len(ls)) ln, count(distinct sha256(text)) uniq, max(strlen(text)) biggest, count(*) filter (strlen(text) < 1024) small from l),
-u as (select unnest(['files', 'bytes', 'lines', 'unique_files', 'largest', 'small_pct']) key, unnest([files, bytes, ln, uniq, biggest, round(100.0 * small / files, 6)]::double[]) "value" from m)
+@query("""
+with s as (select source, case when source <> 'src3' then n_chars end v from documents), r as (select source, v, row_number() over (partition by source order by v) r, count(*) over (partition by source) n from s where v is not null)
+select source, coalesce(max(n), 0) n, coalesce(max(v) filter (r = ceil(0.95 * n)), 0) p_zero from (select distinct source from s) left join r using (source) group by 1""")
+def percentile_empty(spark, d):
+    """The percentile rule that gives 0 for no values (one source has none here)."""
+    docs = table(spark, d, "documents").select("source", F.when(F.col("source") != "src3", F.col("n_chars")).alias("v"))
+    return stats.percentile_or_zero(docs, ["source"], "v", 0.95)
+
+
+#: A corpus: a file a document, whose path is language, source and number; every 50th is binary.
+CORPUS = SQL + """
+, f as (select lang || '/' || source || '/' || doc_id || case when doc_id % 3 = 0 then '' else '.' || ['md', 'PY', 'rs', 'py'][doc_id % 4 + 1] end path, strlen(text) + case when doc_id % 50 = 0 then 1 else 0 end size, doc_id % 50 = 0 bin from documents),
+q as (select size, row_number() over (order by size) - 1 r, count(*) over () n from f),
+dirs as (select d, count(distinct name) fan from (
+    select '' d, split_part(path, '/', 1) name from f union all select split_part(path, '/', 1), split_part(path, '/', 2) from f union all select split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 3) from f) group by 1),
+m as (select count(*) file_count, sum(size) total_working_bytes, (select sum(len) from (select chunk_id, max(len) len from chunks group by 1)) history_bytes, (select count(distinct id) from checkpoints) history_depth,
+    round(avg(bin::int), 6) binary_fraction, (select max(size) filter (r = least(n - 1, floor(n * 0.5))) from q) p50_file_bytes, (select max(size) filter (r = least(n - 1, floor(n * 0.9))) from q) p90_file_bytes,
+    (select max(size) filter (r = least(n - 1, floor(n * 0.99))) from q) p99_file_bytes, max(size) max_file_bytes, (select count(*) from dirs) directory_count, (select max(fan) from dirs) max_directory_fanout,
+    (select round(avg(fan), 6) from dirs) mean_directory_fanout, max(len(string_split(path, '/'))) max_path_depth, count(distinct lower(regexp_extract(path, '(\\.[^./]+)$', 1))) distinct_extensions from f),
+u as (select unnest(['file_count', 'total_working_bytes', 'history_bytes', 'history_depth', 'binary_fraction', 'p50_file_bytes', 'p90_file_bytes', 'p99_file_bytes', 'max_file_bytes', 'directory_count', 'max_directory_fanout', 'mean_directory_fanout', 'max_path_depth', 'distinct_extensions']) key,
+    unnest([file_count, total_working_bytes, history_bytes, history_depth, binary_fraction, p50_file_bytes, p90_file_bytes, p99_file_bytes, max_file_bytes, directory_count, max_directory_fanout, mean_directory_fanout, max_path_depth, distinct_extensions]::double[]) "value" from m)
 """
 
 
 def corpus(spark, d):
-    docs = table(spark, d, "documents").select("text", F.octet_length("text").alias("size"))
-    one = docs.agg(
-        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.count_distinct(F.sha2(F.col("text").cast("binary"), 256)).alias("unique_files"),
-        F.max("size").alias("largest"), r(stats.share(F.count_if(F.col("size") < 1024), F.count("*"))).alias("small_pct"),
-    )
-    names = one.columns
-    return one.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).alias("key", "value"))
+    k = F.col("doc_id")
+    ext = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("."), F.get(F.array(*map(F.lit, ["md", "PY", "rs", "py"])), (k % 4).cast("int"))))
+    docs = table(spark, d, "documents").select(F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), k.cast("string"), ext).alias("path"), F.when(k % 50 == 0, F.concat(F.lit("\x00"), "text")).otherwise(F.col("text")).alias("content"))
+    c = checkpoints(oplog(spark, d)).agg(F.count_distinct("id").cast("double").alias("history_depth"))
+    stored = line_chunks(spark, d).groupBy("chunk_id").agg(F.max("len").alias("len")).agg(F.sum("len").cast("double").alias("history_bytes"))
+    return stats.corpus(docs).union(c.unionByName(stored, allowMissingColumns=True).select(F.explode(F.create_map(F.lit("history_depth"), "history_depth", F.lit("history_bytes"), "history_bytes")).alias("key", "value")).where("value is not null"))
 
 
 @query(CORPUS + "select * from u")
 def corpus_stats(spark, d):
+    """All fourteen measures of a corpus of files and of its history."""
     return corpus(spark, d)
 
 
+#: The contract as it is written; a key without bounds isn't one, and one that nothing measures is a violation.
+CONTRACT = """# Statistics
+| property | bound | why |
+|---|---|---|
+| `file_count` | ≥ 10 and ≤ 1,000,000,000 files | size |
+| `binary_fraction` | ≤ 0.35 | text mostly |
+| `p99_file_bytes` | ≥ 1.5 GiB | large files |
+| `max_file_bytes` | ≤ 1 KiB | none larger |
+| `max_path_depth` | ≥ 3 and ≤ 24 | folders |
+| `directory_count` | ≥ 4 | folders |
+| `churn` | ≥ 0 and ≤ 1 | never measured |
+| `history_depth` | ≥ 20,000 commits | history |
+| `notes` | none | no bound |
+"""
+
+
 @query(CORPUS + """
-, b(key, lo, hi) as (values ('files', 10.0, 1e9), ('small_pct', 90.0, 100.0), ('largest', 0.0, 1000.0), ('churn', 0.0, 1.0))
+, b(key, lo, hi) as (values ('file_count', 10.0::double, 1e9::double), ('binary_fraction', null, 0.35), ('p99_file_bytes', 1610612736.0, null), ('max_file_bytes', null, 1024.0), ('max_path_depth', 3.0, 24.0), ('directory_count', 4.0, null), ('churn', 0.0, 1.0), ('history_depth', 20000.0, null))
 select key, "value", case when "value" is null then 'missing' when "value" < lo then 'below' when "value" > hi then 'above' else 'ok' end verdict from b left join u using (key)""")
 def contract_violations(spark, d):
-    bounds = spark.createDataFrame([("files", 10.0, 1e9), ("small_pct", 90.0, 100.0), ("largest", 0.0, 1000.0), ("churn", 0.0, 1.0)], "key string, lo double, hi double")
-    return stats.violations(corpus(spark, d), bounds)
+    """The corpus against the contract, whose bounds are read from its document."""
+    path = shared_path(spark, "contract")
+    spark.createDataFrame([(x,) for x in CONTRACT.splitlines()], "value string").coalesce(1).write.text(path)
+    return stats.violations(corpus(spark, d), files.contract(spark, temporary(spark, path)))
+
+
+@query(CORPUS + """
+, b as (select unnest(['file_count', 'binary_fraction', 'p99_file_bytes', 'max_file_bytes', 'max_path_depth', 'directory_count', 'churn', 'history_depth']) key)
+select key, case when b.key is null then 'no bound' else 'not measured' end finding from b full join u using (key) where b.key is null or u.key is null""")
+def contract_keys(spark, d):
+    """Keys that the contract bounds but nothing measures, and the other way round."""
+    path = shared_path(spark, "contract")
+    spark.createDataFrame([(x,) for x in CONTRACT.splitlines()], "value string").coalesce(1).write.text(path)
+    bounds = files.contract(spark, temporary(spark, path)).select("key", F.lit(True).alias("bound"))
+    both = corpus(spark, d).select("key", F.lit(True).alias("measured")).join(bounds, "key", "full_outer")
+    return both.where("bound is null or measured is null").select("key", F.when(F.col("bound").isNull(), "no bound").otherwise("not measured").alias("finding"))
+
+
+@query("""
+with g as (select lang, corr(cast(n_chars as double), cast(length(text) as double)) c, corr(cast(n_chars as double), cast(doc_id % 7 as double)) z from documents group by lang)
+select lang, round(c, 6) r, c > 0.5 scales, round(coalesce(z, 0), 6) r_other, coalesce(z, 0) > 0.5 scales_other from g""")
+def save_scaling(spark, d):
+    """Whether cost grows with size: Pearson's r above 0.5, for a cost that does and one that doesn't."""
+    df = table(spark, d, "documents").select("lang", F.col("n_chars").cast("double").alias("x"), F.length("text").cast("double").alias("y"), (F.col("doc_id") % 7).cast("double").alias("z"))
+    g = df.groupBy("lang").agg(scalar.pearson("x", "y").alias("a"), scalar.pearson("x", "z").alias("b"))
+    return g.select("lang", r(F.col("a")).alias("r"), (F.col("a") > 0.5).alias("scales"), r(F.col("b")).alias("r_other"), (F.col("b") > 0.5).alias("scales_other"))
 
 
 @query("""
@@ -163,3 +221,12 @@ def run_composite(spark, d):
     bad = iv.offenders(intervals(spark, d)).agg(F.count("*").alias("violations"))
     both = e.unionByName(bad, allowMissingColumns=True)  # one row each
     return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("total", F.col("failures") + F.col("deadlocks") + F.col("violations"))
+
+
+@query(PAIRS + "select ws, seq, i from (select *, row_number() over (order by seq, ws) i from bad) where i <= 50")
+def violation_sample(spark, d):
+    """The first fifty offenders, in order: a report that stops there."""
+    from pyspark.sql import Window
+
+    first = iv.offenders(intervals(spark, d)).orderBy("seq", "ws").limit(50)
+    return first.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("seq", "ws")).cast("long"))  # of fifty rows

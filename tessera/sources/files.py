@@ -41,13 +41,19 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def contract(spark: SparkSession, path: str) -> DataFrame:
-    """(key, lo, hi) of a Markdown table's rows `| key | ≥ a and ≤ b | … |`; numbers may have commas and units."""
+    """(key, lo, hi) of a Markdown table's rows `| key | ≥ a and ≤ b | … |`; numbers may have commas, units and words after them."""
     cells = F.split("value", r"\|")
-    rows = spark.read.text(path).where(F.col("value").rlike(r"^\|\s*[A-Za-z]")).select(F.trim(F.get(cells, 1)).alias("key"), F.get(cells, 2).alias("bound"))
-    side = lambda mark: F.when(F.col("bound").contains(mark), scalar.quantity(F.regexp_extract("bound", mark + r"\s*([0-9][^≤≥|]*)", 1)))
+    rows = spark.read.text(path).where(F.startswith("value", F.lit("|"))).select(F.trim(F.translate(F.get(cells, 1), "`", "")).alias("key"), F.trim(F.get(cells, 2)).alias("bound"))
+    side = lambda mark: F.when(F.col("bound").contains(mark), scalar.quantity(F.regexp_extract("bound", mark + r"\s*([0-9.][^≤≥|]*)", 1)))
     return rows.select("key", side("≥").alias("lo"), side("≤").alias("hi")).where("lo is not null or hi is not null")
 
 
+def two_parents(commits: DataFrame) -> DataFrame:
+    """Adds p1 and p2 to commits whose `parents`, parted by spaces, are two; others go."""
+    p = F.split("parents", " ")
+    return commits.where(F.size(p) == 2).withColumn("p1", F.get(p, 0)).withColumn("p2", F.get(p, 1))
+
+
 def registry(spark: SparkSession, text: str, table: str, schema: str) -> DataFrame:
     """The entries of a TOML registry, whose file the driver reads, one row each."""
     from pyspark.sql import types as T
