@@ -54,7 +54,7 @@ def archive_name(first: Column, last: Column) -> Column:
 
 def quantity(c: Column) -> Column:
     """A number with thousands commas and a unit or another word after it, as a double."""
-    number = F.regexp_replace(F.regexp_extract(c, r"([0-9,]*\.?[0-9]+)", 1), ",", "").cast("double")
+    number = F.regexp_replace(F.regexp_extract(c, r"([0-9,]*\.?[0-9]+)", 1), ",", "").try_cast("double")
     times = F.create_map(*[F.lit(x) for u, n in UNITS.items() for x in (u, float(n))])
     return number * F.coalesce(F.try_element_at(times, F.lower(F.regexp_extract(c, r"[0-9]\s*([A-Za-z]+)", 1))), F.lit(1.0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_path, table
-from ..operators import chunking
+from ..operators import chunking, stats
 from ..sources import files, journal, packs
 from .history import SQL, line_chunks, oplog
 from .registry import query
@@ -55,7 +55,7 @@ def journal_parse(spark, d):
     op = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 6).otherwise(3)
     body = F.when(F.col("event_type").isin("click", "view"), F.col("props")).otherwise("").cast("binary")
     rows = e.select(F.concat(F.lit("j"), F.col("user_id") % 10).alias("path"), op.cast("long").alias("op"), F.col("event_id").alias("seq"), F.col("user_id").alias("offset"), F.col("event_type").alias("name"), body.alias("payload"))
-    return journal.journal(journal.frames(rows)).withColumn("payload", F.col("payload").cast("string"))
+    return journal.journal(journal.frames(rows).select("path", "content")).withColumn("payload", F.col("payload").cast("string"))
 
 
 @query("select user_id % 64 key, arg_max(event_id, event_id) event_id, arg_max(value, event_id) \"value\" from events group by 1 having arg_max(event_type, event_id) <> 'error'")
@@ -88,7 +88,12 @@ def cdc_chunks(spark, d):
 
 @query()
 def cdc_edit_locality(spark, d):
-    return chunking.edit_locality(table(spark, d, "documents"), "doc_id", "text")
+    """By language: twenty flips a document, the new bytes' percentiles, and whether the 95th is below 256 KiB."""
+    docs = table(spark, d, "documents")
+    found = chunking.edit_locality(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    half, high = (stats.percentiles(found, ["lang"], "new_bytes", p).select("lang", "n", F.col("p_half_up").alias(name)) for p, name in ((0.5, "p50"), (0.95, "p95")))
+    most = found.groupBy("lang").agg(F.max("new_bytes").alias("most"))
+    return half.join(high.drop("n"), "lang").join(most, "lang").withColumn("local", F.col("p95") < 262144)
 
 
 @query()
@@ -98,4 +103,30 @@ def cdc_sweep(spark, d):
 
 @query()
 def storage_ratios(spark, d):
-    return chunking.compressed(table(spark, d, "documents"), "doc_id", "text", "source")
+    """Whole documents, unique chunks by themselves, in one long pack, and in segments of 1, 4 and 16 MiB."""
+    return chunking.stored_sizes(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+@query()
+def storage_honesty(spark, d):
+    """The store against two baselines, each with its allowance: chunks over whole files, and the pack over one long pack without an index."""
+    s = chunking.stored_sizes(table(spark, d, "documents"), "doc_id", "text", "lang")
+    a, b = F.col("pack_ratio") / 1.25, F.try_divide((F.col("pack_long") + F.col("index")).cast("double"), F.col("pack_long")) / 1.5
+    return s.select("lang", F.round(F.greatest(a, b), 6).alias("ratio"), F.when(a >= b, "whole").otherwise("pack").alias("binding"))
+
+
+@query()
+def binary_history(spark, d):
+    """What four kinds of change add to a store."""
+    found = chunking.histories(table(spark, d, "documents"), "doc_id", "text")
+    return found.groupBy("kind").agg(F.count("*").alias("versions"), F.sum("size").alias("size"), F.sum("new_size").alias("new_size"), F.sum("new_bytes").alias("new_bytes"))
+
+
+@query(SQL + "select source, count(distinct chunk_id) chunks from chunks group by 1")
+def ledger_sources(spark, d):
+    """Every source's ledger of addresses, as JSON lines, read and made sets."""
+    path = shared_path(spark, "ledger")
+    rows = line_chunks(spark, d).groupBy("doc_id", "source").agg(F.collect_set("chunk_id").alias("chunk_id"))
+    rows.write.json(path)
+    both = files.ledger(spark, path, "source string, chunk_id array<string>").select("source", F.explode("chunk_id").alias("chunk_id")).distinct()
+    return both.groupBy("source").agg(F.count("*").alias("chunks"))

@@ -10,25 +10,33 @@ from ..operators import stats, text
 from .registry import query
 
 IMPORTS = r"^\s*(import\b|from\b.*\bimport\b|use\b.*;|#include\b|require\b)"
-#: Texts with import runs at either end for every fifth document, and the normal form of each under DuckDB:
-#: an import line sorts within its run, which the line before the run begins.
+#: The normal form of `docs` under DuckDB: an import line sorts within its run, which the line before the run begins.
 NORMAL = r"""
-with docs as (select doc_id, case when doc_id % 5 = 0 then 'import zeta' || chr(10) || 'from alpha import beta' || chr(13) || chr(10) || text || chr(10) || 'use b::c;' || chr(10) || 'use a::b;  ' || chr(10) || '#include <x>' || chr(10) || 'f(a,' || chr(10) || ')' else text end text from documents),
 l as (select doc_id, unnest(ls) raw, generate_subscripts(ls, 1) i from (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) ls from docs)),
 t as (select doc_id, i, regexp_replace(raw, '\s+$', '') line from l),
 m as (select *, regexp_matches(line, '{0}') imp from t),
 g as (select *, sum((not imp)::int) over (partition by doc_id order by i) run from m),
 j as (select doc_id, string_agg(line, chr(10) order by run, imp, case when imp then line else '' end, i) body from g group by 1),
 n as (select doc_id, regexp_replace(regexp_replace(regexp_replace(body, ',(\s*[)\]}}])', '\1', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '\n+$', '') || chr(10) body from j)
-""".format(IMPORTS)
+select doc_id, sha256(body) hash from n""".format(IMPORTS)
 
 
-@query(NORMAL + "select doc_id, sha256(body) hash from n")
+def normal_hashes(docs):
+    return docs.select("doc_id", F.sha2(text.normalized(F.col("text")).cast("binary"), 256).alias("hash"))
+
+
+@query("with docs as (select doc_id, text from documents)," + NORMAL)
 def normalize_text(spark, d):
-    """Normal forms' hashes of all texts, a fifth of which have import runs put before and after."""
+    """Normal forms' hashes of all texts."""
+    return normal_hashes(table(spark, d, "documents"))
+
+
+@query(r"""
+with docs as (select doc_id, 'import zeta' || chr(10) || 'from alpha import beta' || chr(13) || chr(10) || text || chr(10) || 'use b::c;' || chr(10) || 'use a::b;  ' || chr(10) || '#include <x>' || chr(10) || 'f(a,' || chr(10) || ')' text from documents),""" + NORMAL)
+def normalize_imports(spark, d):
+    """The same of texts that have runs of imports put before and after, which the test tables' texts haven't."""
     more = F.concat(F.lit("import zeta\nfrom alpha import beta\r\n"), "text", F.lit("\nuse b::c;\nuse a::b;  \n#include <x>\nf(a,\n)"))
-    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, more).otherwise(F.col("text")).alias("text"))
-    return docs.select("doc_id", F.sha2(text.normalized(F.col("text")).cast("binary"), 256).alias("hash"))
+    return normal_hashes(table(spark, d, "documents").select("doc_id", more.alias("text")))
 
 
 DICE = r"""

@@ -45,13 +45,32 @@ def journal(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_parse, SCHEMA)
 
 
+#: Bytes of a journal's segment, about.
+SEGMENT = 16_000_000
+
+
 def _frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path, part, held, size = None, 0, [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["path", "segment", "content"])
+
     for b in batches:
-        blobs = [b"".join(framed(r["op"], r["seq"], r["offset"], r["name"].encode(), r["payload"] or b"") for r in rows) for rows in b.column("rows").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(blobs, pa.binary())], ["path", "content"])
+        for r in b.to_pylist():
+            if held and (r["path"] != path or size > SEGMENT):
+                yield out()
+                part, held, size = part + 1, [], 0
+            if r["path"] != path:
+                path, part = r["path"], 0
+            held.append(framed(r["op"], r["seq"], r["offset"], r["name"].encode(), r["payload"] or b""))
+            size += len(held[-1])
+    if held:
+        yield out()
 
 
 def frames(rows: DataFrame) -> DataFrame:
-    """(path, content): a journal for each path, of rows (path, op, seq, offset, name, payload), by seq."""
-    listed = F.array_sort(F.collect_list(F.struct("seq", "op", "offset", "name", "payload")))
-    return rows.groupBy("path").agg(listed.alias("rows")).mapInArrow(_frame, "path string, content binary")
+    """(path, segment, content): each path's journal, of rows (path, op, seq, offset, name, payload), by seq.
+
+    A journal is written in its order, by one task, as segments of SEGMENT bytes and whole frames, so no path is ever an array.
+    """
+    return rows.select("path", "op", "seq", "offset", "name", "payload").repartition("path").sortWithinPartitions("path", "seq").mapInArrow(_frame, "path string, segment int, content binary")

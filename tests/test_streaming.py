@@ -53,3 +53,28 @@ def test_copies_and_rates(spark, tmp_path):
     assert result(live.once(live.stream(spark, path)), "once", "append").count() == 30
     got = result(live.rates(live.stream(spark, path)), "rates", "update").collect()
     assert sum(r.n for r in got) == 40 and len(got) == 3
+
+
+def test_group_commit_takes_each_entry_once(spark, tmp_path):
+    from tessera.streaming import commit
+
+    source, folder = folder_of_twice(spark, tmp_path), str(tmp_path / "committed")
+    q = commit.group_commit(live.stream(spark, source, 1), folder, str(tmp_path / "check"), "0 seconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = commit.committed(spark, folder)
+    want = entries(spark).select("log_id", "seq", "kind", "line").collect()
+    assert sorted(map(tuple, got.select("log_id", "seq", "kind", "line").collect())) == sorted(map(tuple, want))
+    last = got.agg(F.max("batch")).head()[0]
+    assert last >= 1
+    before = got.count()
+    commit.commit(entries(spark), last, folder)  # the last batch again, after a failure, with more in it
+    assert commit.committed(spark, folder).count() == before
+
+
+def folder_of_twice(spark, tmp_path):
+    path = folder(spark, tmp_path)
+    entries(spark).where("seq <= 5").coalesce(1).write.mode("append").parquet(path)
+    return path
