@@ -100,6 +100,17 @@ def chunks(docs: DataFrame, key: str, body: str, sizes: tuple[int, int, int] = (
     return docs.select(F.col(key).cast("long"), F.col(body).cast("binary")).mapInArrow(run, f"{key} long, pos long, offset long, len long, chunk_id string")
 
 
+def payloads(files: DataFrame, key: str, body: str, sizes: tuple[int, int, int] = (MIN, AVG, MAX)) -> DataFrame:
+    """(key, pos, chunk_id, payload) of binary bodies under text keys."""
+
+    def make(k, blob):
+        for i, p in enumerate(_pieces(blob, sizes)):
+            yield k, i, hashlib.sha256(p).hexdigest(), p
+
+    run = _mapped(make, [key, "pos", "chunk_id", "payload"], [pa.string(), pa.int64(), pa.string(), pa.binary()])
+    return files.select(F.col(key).cast("string"), F.col(body).cast("binary")).mapInArrow(run, f"{key} string, pos long, chunk_id string, payload binary")
+
+
 #: Edits of each document, spread evenly over it.
 TRIALS = 20
 

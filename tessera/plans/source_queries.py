@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tables import shared_path, table
-from ..operators import chunking, stats
+from ..functions.tables import shared_path, table, temporary
+from ..operators import chunking, fixtures, stats
 from ..sources import files, journal, packs
 from .history import SQL, line_chunks, oplog
 from .registry import query
@@ -19,7 +19,7 @@ def pack_roundtrip(spark, d):
     docs = table(spark, d, "documents").select(F.expr("doc_id div 100").alias("pack_id"), F.explode(F.split("text", "\n")).alias("line"))
     path = shared_path(spark, "packs")
     packs.write(docs.select("pack_id", F.sha2(F.col("line").cast("binary"), 256).alias("chunk_id"), F.col("line").cast("binary").alias("payload")), path)
-    return packs.intact(packs.read(spark, path)).groupBy("pack_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("payload")).alias("bytes"))
+    return packs.intact(packs.read(spark, temporary(spark, path))).groupBy("pack_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("payload")).alias("bytes"))
 
 
 @query("select doc_id path, sha256(text) hash, 0 missing from documents")
@@ -29,7 +29,7 @@ def checkout(spark, d):
     rows = docs.select("doc_id", "pack_id", "pos", F.sha2(F.col("line").cast("binary"), 256).alias("chunk_id"), F.col("line").cast("binary").alias("payload"))
     path = shared_path(spark, "packs")
     packs.write(rows.select("pack_id", "chunk_id", "payload"), path)
-    out = packs.checkout(rows.select(F.col("doc_id").alias("path"), "pos", "chunk_id"), packs.read(spark, path))
+    out = packs.checkout(rows.select(F.col("doc_id").alias("path"), "pos", "chunk_id"), packs.read(spark, temporary(spark, path)))
     return out.select("path", F.sha2("content", 256).alias("hash"), "missing")
 
 
@@ -42,7 +42,7 @@ def archive_roundtrip(spark, d):
         upto = min(last, done + max(20, (last - done) // 2))
         files.archive(log, path, done + 1, upto)
         done = upto
-    df = files.archived(spark, path, "log_id long, seq long, kind string, k int")
+    df = files.archived(spark, temporary(spark, path), "log_id long, seq long, kind string, k int")
     return df.select("log_id", "seq", "kind", "k", F.lit(files.archived_through(df).head()[0]).alias("upto"))
 
 
@@ -71,14 +71,14 @@ def ledger_scan(spark, d):
     path = shared_path(spark, "ledger")
     rows = line_chunks(spark, d).where("source = 'src6'").groupBy("doc_id").agg(F.collect_set("chunk_id").alias("chunk_id"))
     rows.write.json(path)
-    return files.ledger_set(files.ledger(spark, path, "doc_id long, chunk_id array<string>"), "chunk_id")
+    return files.ledger_set(files.ledger(spark, temporary(spark, path), "doc_id long, chunk_id array<string>"), "chunk_id")
 
 
 @query("select o_orderkey::varchar a, o_orderpriority b, o_custkey::varchar c from orders")
 def records_parse(spark, d):
     path = shared_path(spark, "records")
     files.write_records(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), path)
-    return files.records(spark, path, ["a", "b", "c"])
+    return files.records(spark, temporary(spark, path), ["a", "b", "c"])
 
 
 @query()
@@ -128,5 +128,28 @@ def ledger_sources(spark, d):
     path = shared_path(spark, "ledger")
     rows = line_chunks(spark, d).groupBy("doc_id", "source").agg(F.collect_set("chunk_id").alias("chunk_id"))
     rows.write.json(path)
-    both = files.ledger(spark, path, "source string, chunk_id array<string>").select("source", F.explode("chunk_id").alias("chunk_id")).distinct()
+    both = files.ledger(spark, temporary(spark, path), "source string, chunk_id array<string>").select("source", F.explode("chunk_id").alias("chunk_id")).distinct()
     return both.groupBy("source").agg(F.count("*").alias("chunks"))
+
+
+@query()
+def adversarial_roundtrip(spark, d):
+    """Awkward files cut into chunks, packed and put together again: path, size, chunks, and whether the bytes are the same."""
+    given = fixtures.adversarial(spark)
+    cut = chunking.payloads(given, "path", "content")
+    path = shared_path(spark, "packs")
+    packs.write(cut.select(F.lit(1).cast("long").alias("pack_id"), "chunk_id", "payload"), path)
+    back = packs.checkout(cut.select("path", "pos", "chunk_id"), packs.read(spark, temporary(spark, path)))
+    n = cut.groupBy("path").agg(F.count("*").alias("chunks"), F.max(F.octet_length("payload")).alias("largest"))
+    both = given.join(back.withColumnRenamed("content", "now"), "path", "left").join(n, "path", "left")
+    return both.select("path", F.octet_length("content").alias("size"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "largest", (F.coalesce("now", F.lit(b"")) == F.col("content")).alias("same"))
+
+
+@query("""
+with p as (select user_id % 16 size_class, event_type, median(value) med from events group by all), f as (select event_type, arg_min(med, size_class) base from p group by 1)
+select size_class, event_type, round(med, 6) "median", round(med / base, 6) growth from p join f using (event_type)""")
+def probe_medians(spark, d):
+    """Medians of a probe by size, and how they grow from the smallest size."""
+    p = table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("size_class"), "event_type").agg(F.median("value").alias("med"))
+    base = p.groupBy("event_type").agg(F.min_by("med", "size_class").alias("base"))
+    return p.join(base, "event_type").select("size_class", "event_type", F.round("med", 6).alias("median"), F.round(F.col("med") / F.col("base"), 6).alias("growth"))

@@ -103,3 +103,24 @@ def test_upcast_and_errors(spark):
     names = spark.createDataFrame([(n,) for n, *_ in commands.ERRORS] + [("?",)], "n string")
     got = {r[0]: tuple(r)[1:] for r in names.select("n", *commands.explained(F.col("n"))).collect()}
     assert got == {n: (a, b, c) for n, a, b, c in commands.ERRORS} | {"?": (None, None, None)}
+
+
+def test_adversarial_files_come_back(spark):
+    from tessera.plans import QUERIES
+
+    got = QUERIES["adversarial_roundtrip"](spark, "").collect()
+    assert len(got) > 40 and all(r.same for r in got)
+    assert all(r.chunks == 0 for r in got if r.size == 0) and all((r.largest or 0) <= chunking.MAX for r in got)
+    repeat = next(r for r in got if r.path == "big/repeat")
+    assert repeat.chunks > 10
+
+
+@pytest.mark.parametrize("kind", ["text", "source", "records", "noise", "sparse"])
+def test_kinds_of_files_keep_edits_local(kind):
+    from tessera.operators import fixtures
+
+    blob = fixtures.of_kind(kind, 300_000, 5)
+    assert len(blob) == 300_000 and blob == fixtures.of_kind(kind, 300_000, 5)
+    was = {hashlib.sha256(p).digest() for p in chunking._pieces(blob, (2048, 8192, 32768))}
+    now = blob[:150_000] + bytes([blob[150_000] ^ 0xFF]) + blob[150_001:]
+    assert sum(len(p) for p in chunking._pieces(now, (2048, 8192, 32768)) if hashlib.sha256(p).digest() not in was) < 262_144
