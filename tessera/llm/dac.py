@@ -395,21 +395,51 @@ def write(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col
     df.mapInArrow(_write(path, segment), FILE).write.option("compression", "uncompressed").parquet(out)
 
 
-def read(spark, out: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files."""
-    files = spark.read.schema(FILE).parquet(out)
+def _bases(files: DataFrame) -> DataFrame | None:
+    """(part, base): the ids before each partition's, one row a partition; None without files."""
     sizes = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     base, total = [], 0
     for p in sorted(sizes):
         base.append((p, total))
         total += sizes[p]
-    if not base:
+    return files.sparkSession.createDataFrame(base, "part int, base long") if base else None
+
+
+def read(spark, out: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files."""
+    files = spark.read.schema(FILE).parquet(out)
+    place = _bases(files)
+    if place is None:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    place = spark.createDataFrame(base, "part int, base long")  # one row a partition
     found = files.mapInArrow(_read, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(place), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(b.num_rows):
+            at = np.asarray(b.column("at")[k].values).astype(np.int64)
+            found = Dac(b.column("dac")[k].as_py()).get(at - b.column("first")[k].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found)], ["at", "id"])
+
+
+def tokens_at(spark, out: str, wanted: DataFrame) -> DataFrame:
+    """(at, id) of wanted places (at: ids before it in all files), each by one look per level; places beyond the end have no row.
+
+    A place finds its file by a join on ranges of SEGMENT ids; only files with such a place are read.
+    """
+    files = spark.read.schema(FILE).parquet(out)
+    base = _bases(files)
+    if base is None:
+        return spark.createDataFrame([], "at long, id long")
+    spans = files.select("part", "ids_before", "n_ids").join(F.broadcast(base), "part").withColumn("first", F.col("ids_before") + F.col("base"))
+    spans = spans.withColumn("range", F.explode(F.sequence(F.expr(f"first div {SEGMENT}"), F.expr(f"(first + n_ids - 1) div {SEGMENT}"))))
+    asked = wanted.select(F.col("at").cast("long").alias("at")).where("at >= 0").distinct().withColumn("range", F.expr(f"at div {SEGMENT}"))
+    hits = asked.join(spans, "range").where("at >= first and at < first + n_ids")
+    lists = hits.groupBy("part", "ids_before", "first").agg(F.collect_list("at").alias("at"))
+    return files.select("part", "ids_before", "dac").join(lists, ["part", "ids_before"]).select("first", "at", "dac").mapInArrow(_pick, "at long, id long")
+
+
 def roundtrip(docs: DataFrame, path: str, out: str | None = None, **kw) -> DataFrame:
     spark, own = docs.sparkSession, out is None
     out = out or new_path(spark, "dac")

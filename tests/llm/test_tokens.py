@@ -145,6 +145,18 @@ def test_files(spark):
     assert dac.roundtrip(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_random_access(spark, tmp_path, monkeypatch):
+    rs = [r for i, r in enumerate(rows()) if i != 4]
+    path, out = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "dac")
+    monkeypatch.setattr(dac, "SEGMENT", 700)
+    dac.write(spark.createDataFrame(rs, "doc_id long, text string"), path, out, segment=700)
+    every = [i for d, t in sorted(rs, key=lambda r: (r[0] is None, r[0] or 0)) for i in [*TK.encode(t or "", add_special_tokens=False).ids, 0]]
+    at = random.Random(1).sample(range(len(every)), 3000) + [0, len(every) - 1]
+    wanted = spark.createDataFrame([(x,) for x in [*at, at[0], -1, len(every), 10**12]], "at long")
+    assert {(r.at, r.id) for r in dac.tokens_at(spark, out, wanted).collect()} == {(x, every[x]) for x in at}
+    assert dac.tokens_at(spark, out, wanted.limit(0)).collect() == []
+
+
 def test_queries(spark):
     d = "/root/testdata/sf0.01"
     rs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
