@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let, words_of
-from .shared import quoted, whole_row
+from .shared import quoted, stored, whole_row
 
 OTHER = "(other)"
 SEED = 7
@@ -109,21 +109,22 @@ def probabilities(cells: dict[tuple[str, ...], float], weights: dict[tuple[str,
     return {k: top * ratio.get(k, most) / most for k in cells}
 
 
-def calibrated(docs: DataFrame, sources: dict[str, float] = SOURCES, languages: dict[str, float] = LANGUAGES, topics: dict[str, float] = TOPICS, top: float = 1.0, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(row, n_tokens, topic, probability, sampled, residual); row is the row of docs, residual that of the raking."""
+def calibrated(docs: DataFrame, sources: dict[str, float] = SOURCES, languages: dict[str, float] = LANGUAGES, topics: dict[str, float] = TOPICS, top: float = 1.0, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """(row, n_tokens, topic, probability, sampled, residual); row has the columns `keep` of docs, or all; residual is that of the raking."""
 
     def named(c: Column, target: dict[str, float]) -> Column:
-        return F.when(c.isin(list(target)), c).otherwise(OTHER)
+        return let(c, lambda x: F.when(x.isin(list(target)), x).otherwise(OTHER))  # c is computed once
 
     text = quoted(text_col)
     df = docs.select(
-        whole_row(docs).alias("row"),
+        whole_row(docs.select(*map(quoted, keep)) if keep else docs).alias("row"),
         named(quoted(source_col), sources).alias("_s"),
         named(quoted(lang_col), languages).alias("_l"),
         named(topic_of(text) if topic is None else topic, topics).alias("topic"),
         tokens_of(text).alias("n_tokens"),
         F.xxhash64(quoted(id_col).cast("long"), F.coalesce(text, F.lit("")), F.lit(SEED)).alias("_h"),
     )
+    df = stored(df, "mixing-facts")  # so that each text is read once
     cells = {tuple(r[:3]): float(r[3]) for r in df.groupBy("_s", "_l", "topic").agg(F.sum("n_tokens")).collect()}
     weights, apart = raked(cells, [sources, languages, topics])
     if apart >= TOLERANCE:

@@ -63,7 +63,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.calibrated(table(spark, sf_dir, "documents"))
+    found = mixing.calibrated(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
     return found.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "probability", "sampled", "residual")
 
 
