@@ -115,3 +115,15 @@ def error_audit(errors: DataFrame, known: list[str]) -> DataFrame:
     lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"d.{k}"), F.lit("")) == "", k) for k in ("error", "category", "concept", "recovery")]))
     named = F.array_distinct(F.regexp_extract_all(F.coalesce("d.recovery", F.lit("")), F.lit("`([A-Za-z0-9-]+)`"), F.lit(1)))
     return df.select("line", lacking.alias("missing"), F.array_except(named, F.array(*map(F.lit, known))).alias("unknown"))
+
+
+def scorecard(registry: DataFrame, results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(gid, finding): gates without a result, results of no gate, results given twice, and evidence that is named but isn't there.
+
+    results: (gid, evidence), the path of a file or null; evidence: (path).
+    """
+    n = results.groupBy("gid").agg(F.count("*").alias("n"))
+    both = registry.select("gid", F.lit(True).alias("known")).distinct().join(n, "gid", "full_outer")
+    word = F.when(F.col("known").isNull(), "not in the registry").when(F.col("n").isNull(), "no result").when(F.col("n") > 1, "more than one result")
+    lost = results.where("evidence is not null").join(evidence.select(F.col("path").alias("evidence")).distinct(), "evidence", "left_anti").select("gid", F.lit("evidence is missing").alias("finding")).distinct()
+    return both.select("gid", word.alias("finding")).where("finding is not null").union(lost)

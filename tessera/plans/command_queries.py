@@ -147,3 +147,26 @@ select log_id, count(*) kinds from f group by 1""")
 def undoable_kinds(spark, d):
     """How many kinds of entries each log has that undo may touch at all."""
     return oplog(spark, d).where(log.undoable("kind")).groupBy("log_id").agg(F.count_distinct("kind").alias("kinds"))
+
+
+@query(SQL + """
+select log_id, seq, case when k % 6 <> 0 then 'whole' when exists (select 1 from oplog a where a.log_id = o.log_id and a.line = o.line and a.kind = 'assign' and a.seq < o.seq) then 'partial' else 'refused: change holds nothing' end outcome from oplog o where kind = 'save'""")
+def save_outcomes(spark, d):
+    """What a save takes: the whole tree, or one change, which must hold a path by then."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("log_id", "line").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = oplog(spark, d).withColumn("held", F.max(F.col("kind") == "assign").over(before)).where("kind = 'save'")
+    word = F.when(F.col("k") % 6 != 0, "whole").when(F.col("held"), "partial").otherwise("refused: change holds nothing")
+    return held.select("log_id", "seq", word.alias("outcome"))
+
+
+@query(SQL + "select log_id, count(*) filter (kind not in ('init', 'undo', 'adopt', 'redact', 'thin', 'compact', 'workspace')) undoable, 0 remaining, true restored from oplog group by 1")
+def undo_all(spark, d):
+    """Every log followed by as many undos as it has entries: nothing that can be undone is left, so the state is the first one."""
+    o = oplog(spark, d).select("log_id", "seq", "kind")
+    last = o.groupBy("log_id").agg(F.max("seq").alias("last"))
+    undos = last.select("log_id", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("i"), "last").select("log_id", (F.col("last") + F.col("i")).alias("seq"), F.lit("undo").alias("kind"))
+    left = log.live(o.union(undos)).groupBy("log_id").agg(F.count("*").alias("left"))
+    n = o.groupBy("log_id").agg(F.count_if(log.undoable("kind")).alias("undoable")).join(left, "log_id", "left")
+    return n.select("log_id", "undoable", F.coalesce("left", F.lit(0)).cast("int").alias("remaining"), F.col("left").isNull().alias("restored"))

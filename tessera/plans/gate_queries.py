@@ -199,3 +199,17 @@ def manifest_findings(spark, d):
         F.when(F.col("da").isNotNull() & F.col("db").isNotNull() & ~F.col("la").eqNullSafe(F.col("lb")), "link"),
     ))
     return a.join(b, "path", "full_outer").select("path", F.explode(found).alias("finding"))
+
+
+@query("""
+with g as (select p_partkey gid from part where p_partkey % 10 <> 3),
+r as (select p_partkey gid, case when p_partkey % 6 = 0 then 'e' || p_partkey % 100 end evidence from part where p_partkey % 7 <> 2 union all select p_partkey, null from part where p_partkey % 50 = 1),
+e as (select distinct 'e' || p_size path from part), n as (select gid, count(*) n from r group by 1)
+select gid, finding from (select coalesce(g.gid, n.gid) gid, case when g.gid is null then 'not in the registry' when n is null then 'no result' when n > 1 then 'more than one result' end finding from g full join n on g.gid = n.gid) where finding is not null
+union all select distinct gid, 'evidence is missing' from r where evidence is not null and evidence not in (select path from e)""")
+def scorecard_integrity(spark, d):
+    """A scorecard against the registry of gates, both ways, and the evidence that it names."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    named = F.when(k % 6 == 0, F.concat(F.lit("e"), (k % 100).cast("string")))
+    results = p.where(k % 7 != 2).select(k.alias("gid"), named.alias("evidence")).union(p.where(k % 50 == 1).select(k, F.lit(None).cast("string")))
+    return gates.scorecard(p.where(k % 10 != 3).select(k.alias("gid")), results, p.select(F.concat(F.lit("e"), F.col("p_size").cast("string")).alias("path")))
