@@ -72,8 +72,15 @@ def repeated_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(let(pairs, places), covered)).otherwise(0)
 
+    def joined(have: Column, step: int) -> Column:
+        """The hashes of stretches twice as long: each with the one `step` words on."""
+        return let(have, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - step), F.slice(h, F.lit(1 + step), F.size(h) - step), lambda x, y: F.xxhash64(x, y)))
+
     def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
+        found, length = F.transform(w, lambda x: F.xxhash64(x)), 1
+        while length < WINDOW:  # a power of two
+            found, length = joined(found, length), 2 * length
+        return found
 
     return let(words, lambda w: F.when(F.size(w) >= WINDOW, let(hashes(w), counted)).otherwise(0)).cast("long")
 
