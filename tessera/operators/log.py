@@ -55,7 +55,7 @@ def chain(log: DataFrame, body: Column) -> DataFrame:
 
 def chain_head(log: DataFrame, body: Column) -> DataFrame:
     """(log_id, entries, head): the id of the last entry."""
-    return chain(log, body).groupBy("log_id").agg(F.count("*").alias("entries"), F.max_by("id", "seq").alias("head"))
+    return chain(log.select("log_id", "seq", body.alias("_op")), F.col("_op")).groupBy("log_id").agg(F.count("*").alias("entries"), F.max_by("id", "seq").alias("head"))
 
 
 def first_break(chained: DataFrame, body: Column) -> DataFrame:
@@ -72,7 +72,7 @@ def undo_targets(log: DataFrame) -> DataFrame:
     """(log_id, seq, undone_seq) of each undo: what is on top of the stack then, or null.
 
     Undo is a closing bracket. Depth is the running balance above its own minimum; an undo takes what last
-    reached its depth. Windows only: no log is ever an array.
+    reached its depth. Windows only: no log is ever an array, but a log is one task's.
     """
     w = Window.partitionBy("log_id").orderBy("seq")
     step = F.when(F.col("kind") == "undo", -1).when(undoable("kind"), 1).otherwise(0)

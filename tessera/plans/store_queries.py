@@ -37,15 +37,20 @@ def pack_open(spark, d):
     return packs.opened(chunks.groupBy("pack_id").agg(F.count_distinct("chunk_id").alias("chunks")), torn)
 
 
-@query("select lang || '/' || source dir, sum(strlen(text) + 1)::bigint size, sha256(string_agg(replace(text, chr(10), ' ') || chr(10), '' order by doc_id)) chunk_id from documents group by 1")
+#: Lines of a file, at most, in the work tree that is written.
+LINES = 5
+
+
+@query(f"""
+with l as (select lang || '/' || source dir, replace(text, chr(10), ' ') || chr(10) line, row_number() over (partition by lang, source order by doc_id) - 1 i from documents)
+select dir, i // {LINES} file, sum(strlen(line))::bigint size, sha256(string_agg(line, '' order by i)) chunk_id from l group by all""")
 def worktree_scan(spark, d):
-    """A work tree written as files, one a folder, and scanned: size and address of each; the root's own store is left out."""
+    """A work tree written as files, a folder a language and source, and scanned: size and address of each file."""
     path = shared_path(spark, "worktree")
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("dir"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
-    body = docs.groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    one = body.union(body.limit(1).select(F.lit(".store").alias("dir"), "value"))
-    one.repartition("dir").write.partitionBy("dir").text(path)
-    return files.worktree(spark, temporary(spark, path)).select(F.regexp_replace(F.url_decode(F.regexp_extract("path", "dir=([^/]*)/", 1)), r"\+", " ").alias("dir"), "size", "chunk_id").where("dir <> '.store'")
+    docs.repartition("dir").sortWithinPartitions("dir", "doc_id").select("dir", "value").write.option("maxRecordsPerFile", LINES).partitionBy("dir").text(path)
+    found = files.worktree(spark, temporary(spark, path))
+    return found.select(F.url_decode(F.regexp_extract("path", "dir=([^/]*)/", 1)).alias("dir"), F.regexp_extract("path", r"[.-]c([0-9]+)\.", 1).cast("long").alias("file"), "size", "chunk_id")
 
 
 @query("select n_name slug, r_name primary_language, n_nationkey included from nation join region on n_regionkey = r_regionkey where n_nationkey % 5 <> 0")

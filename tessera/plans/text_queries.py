@@ -139,8 +139,8 @@ def merge_rates(spark, d):
 
 
 #: Who wrote a commit, by the last digit and more of a number.
-NAMES = ["Ann Lee", "dependabot[bot]", "Copilot", "bot", "Release-Bot x", "Cody Smith", "Abbot", "k8s-ci-robot", "GPT-4 helper", "Jo Grower", "Prow", "Claudette"]
-MAILS = ["ann@x.org", "bot@y.com", "c@z", "", "r@x", "claude@x"]
+NAMES = ["Ann Lee", "dependabot[bot]", "Copilot", "bot", "Release-Bot x", "Cody Smith", "Abbot", "k8s-ci-robot", "GPT-4 helper", "Jo Grower", "Prow", "Cursorine"]
+MAILS = ["ann@x.org", "bot@y.com", "c@z", "", "r@x", "cody@x"]
 
 
 def _sql_list(words: list[str]) -> str:
@@ -165,7 +165,7 @@ def identity_classes(spark, d):
 
 
 #: A commit an event: its people, and up to two trailers of the eight in its message, of either case.
-LINES = ["none", "Co-Authored-By: Ann", "signed-off-by: Bo", "REVIEWED-BY:  Cy", "Generated-by: tool", "Assisted-by: x", "Change-Id: I1", "PR-URL: u", "Reviewed-On: v", "co-authored-by: Claude <c@x>", "Co-authored-by: dependabot[bot]", " Signed-off-by: indented"]
+LINES = ["none", "Co-Authored-By: Ann", "signed-off-by: Bo", "REVIEWED-BY:  Cy", "Generated-by: tool", "Assisted-by: x", "Change-Id: I1", "PR-URL: u", "Reviewed-On: v", "co-authored-by: Copilot <c@x>", "Co-authored-by: dependabot[bot]", " Signed-off-by: indented"]
 COMMITS = f"""
 with m as (select user_id % 12 repo, row_number() over (partition by user_id % 12 order by event_id desc) - 1 i,
     case when user_id % 12 < 8 and event_id % 3 = 0 then {_sql_list(NAMES)}[event_id % {len(NAMES)} + 1] else 'Jo Grower' end || ' ' || case when event_id % 4 = 0 then {_sql_list(MAILS)}[event_id // 7 % {len(MAILS)} + 1] else 'jo@x' end author,

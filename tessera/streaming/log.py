@@ -35,7 +35,8 @@ def tips(df: DataFrame) -> DataFrame:
 
 
 def _undo(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The stack of live entries; rows of a trigger in order of seq. Kinds that can't be undone don't go on it, as in operators.log."""
+    """The stack of live entries; rows of a trigger in order of seq. Kinds that can't be undone don't go on it, as in operators.log; so the
+    state is a log's entries that can still be undone."""
     stack = list(state.get[0]) if state.exists else []
     rows = pd.concat(list(batches)).sort_values("seq")
     out = []
