@@ -6,7 +6,7 @@ are word numbers: a document is read once, each word is looked up and steps the
 
 The items are collected only after their words are counted; beyond `most_words` they are dealt by hash into as
 many parts as needed, each with an automaton of its own, one pass over the documents each, with a written table
-between the passes, so no task ever holds more than one part. An automaton takes about 700 bytes a word; a worker
+between the passes, so no task ever holds more than one part. An automaton takes about 800 bytes a word; a worker
 process builds it once and keeps one.
 
 Defined results. Null or blank texts have no words; an item without words is no window, one of under 10 words is
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .shared import quoted, stored, whole_row, word_bounds
 
 WINDOW = 10
-#: Of items in one automaton: 350 MB.
+#: Of items in one automaton: 400 MB.
 MOST_WORDS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
