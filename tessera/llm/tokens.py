@@ -22,14 +22,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_path, pieces, quoted, stored, temporary
 
 LIMIT = 4096
-WORDS = 1_000_000
+WORDS = 400_000
+#: Bytes of text whose distinct words are looked up at once.
+PIECE = 4_000_000
 #: So many misses, 32 bytes each, are broadcast to pick their texts before the shuffle; more are joined after it.
 BROADCAST_ROWS = 100_000
 #: Texts that a model must count alike by words and in whole.
@@ -48,7 +52,7 @@ class Counter:
         self.seen: dict[str, int] = {}
         self.space = len(self.model.encode("a ")) - len(self.model.encode("a"))  # of one space at the end
         if self.by_word:
-            self.by_word = self.count(PROBES * 2) == [len(x) for x in self.model.encode(PROBES * 2, num_threads=1)]
+            self.by_word = self.count_column(pa.array(PROBES * 2)).tolist() == self.count(PROBES * 2) == [len(x) for x in self.model.encode(PROBES * 2, num_threads=1)]
 
     def words(self, text: str) -> list[str]:
         """What is encoded by itself, without the first of the spaces before it."""
@@ -79,6 +83,30 @@ class Counter:
         return out
 
 
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """Of strings without nulls. Texts with single spaces between words only are split by Arrow, and each distinct word is looked up once."""
+        odd = pc.match_substring_regex(texts, "^ | $|  |▁") if self.by_word else pa.array([True] * len(texts), pa.bool_())
+        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False).astype(bool)
+        out = np.zeros(len(texts), np.int64)
+        out[odd] = self.count(texts.filter(pa.array(odd)).to_pylist())
+        even = texts.filter(pa.array(~odd))
+        if len(even):
+            split = pc.split_pattern(pc.cast(even, pa.large_string()), " ")
+            at = np.asarray(split.offsets).astype(np.int64)
+            words = split.flatten().dictionary_encode()
+            each = np.array(self.sizes(words.dictionary.to_pylist()), np.int64)
+            out[~odd] = np.add.reduceat(each[np.asarray(words.indices)], at[:-1] - at[0])
+        return out
+
+    def sizes(self, words: list[str]) -> list[int]:
+        """The tokens of words that a space precedes, none of them empty."""
+        if len(self.seen) > WORDS:
+            self.seen.clear()
+        new = [w for w in words if w not in self.seen]
+        self.seen.update(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
+        return list(map(self.seen.__getitem__, words))
+
+
 def counter(path: str) -> Counter:
     if path not in _counters:
         _counters[path] = Counter(path)
@@ -89,10 +117,8 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for b in batches:
-            n: list[int] = []
-            for lo, hi in pieces(b.column("text")):
-                n += own.count(b.column("text").slice(lo, hi - lo).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+            n = [own.count_column(b.column("text").slice(lo, hi - lo)) for lo, hi in pieces(b.column("text"), PIECE)]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]))], ["digest", "n_tokens"])
 
     return run
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -31,8 +32,12 @@ def test_counter():
 def test_counter_over_a_whole_table(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
     own = tokens.Counter(public_tokenizers.path("piece_bpe_32k.model"))
-    assert own.by_word and own.count(texts) == [len(x) for x in SP.encode(texts)]
+    want = [len(x) for x in SP.encode(texts)]
+    assert own.by_word and own.count(texts) == want and own.count_column(pa.array(texts)).tolist() == want
+    odd = odd_texts()
+    assert own.count_column(pa.array(odd)).tolist() == [len(x) for x in SP.encode(odd)]
     own.by_word = False
+    assert own.count_column(pa.array(odd[:200])).tolist() == [len(x) for x in SP.encode(odd[:200])]
     assert own.count(texts[:200]) == [len(x) for x in SP.encode(texts[:200])]
 
 
