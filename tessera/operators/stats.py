@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+
 #: 1-based ranks over n sorted values; they differ.
 RULES = {
     "ceil": lambda p, n: F.greatest(F.lit(1), F.ceil(p * n)),
@@ -52,11 +54,15 @@ def share(hits: Column, n: Column) -> Column:
 
 
 def corpus(files: DataFrame) -> DataFrame:
-    """(key, value): what a corpus of files (path, content) measures; a file is binary if its first 8000 characters hold a NUL."""
+    """(key, value): what a corpus of files (path, content) measures; a file is binary if its first 8000 characters hold a NUL.
+
+    Contents are read once, for a written table of what is measured of each file.
+    """
     f = files.select(
         "path", F.octet_length("content").alias("size"), F.contains(F.left("content", F.lit(8000)), F.lit("\x00")).cast("int").alias("bin"),
         F.size(F.split("path", "/")).alias("depth"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"),
     )
+    f = stored(f, "corpus-files")
     one = f.agg(F.count("*").alias("file_count"), F.sum("size").alias("total_working_bytes"), F.round(F.avg("bin"), 6).alias("binary_fraction"), F.max("size").alias("max_file_bytes"), F.max("depth").alias("max_path_depth"), F.count_distinct("ext").alias("distinct_extensions"))
     whole = f.select(F.lit(1).alias("all"), "size")
     for p in (50, 90, 99):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tables import shared_path, table, temporary
+from ..functions.tables import shared_path, stored, table, temporary
 from ..operators import chunking, fixtures, stats
 from ..sources import files, journal, packs
 from .history import SQL, line_chunks, oplog
@@ -90,7 +90,8 @@ def cdc_chunks(spark, d):
 def cdc_edit_locality(spark, d):
     """By language: twenty flips a document, the new bytes' percentiles, and whether the 95th is below 256 KiB."""
     docs = table(spark, d, "documents")
-    found = chunking.edit_locality(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    found = chunking.edit_locality(docs, "doc_id", "text").select("doc_id", "new_bytes").join(docs.select("doc_id", "lang"), "doc_id")
+    found = stored(found.select("lang", "new_bytes"), "edit-trials")  # chunked once
     half, high = (stats.percentiles(found, ["lang"], "new_bytes", p).select("lang", "n", F.col("p_half_up").alias(name)) for p, name in ((0.5, "p50"), (0.95, "p95")))
     most = found.groupBy("lang").agg(F.max("new_bytes").alias("most"))
     return half.join(high.drop("n"), "lang").join(most, "lang").withColumn("local", F.col("p95") < 262144)

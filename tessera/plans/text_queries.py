@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.tables import table
+from ..functions.tables import stored, table
 from ..operators import stats, text
 from .registry import query
 
@@ -103,7 +103,7 @@ def merges(spark, d):
 
 
 def sampled_merges(spark, d):
-    found = merges(spark, d)
+    found = stored(merges(spark, d), "merges")  # contents are normalised once
     return found.join(stats.stratified(found, "repo", "merge", "20260903", 50, 0.8).select("merge"), "merge", "left_semi")
 
 
