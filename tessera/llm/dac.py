@@ -12,8 +12,8 @@ partitioned by doc_id, so files ascend; a partition's files know the ids before
 partition is added up on the driver.
 
 Defined results. Null text: as empty, only the end id. Null doc_id: last. Equal doc_ids: in the order of their
-texts' hashes. A document is never split; a long one makes a long file. Extra columns aren't read. Empty table: no
-files, empty result.
+texts' hashes; they, and null ones, are one task's, which reads them in pieces. A document is never split; a long one
+makes a long file. Extra columns, whatever their names, aren't read. Empty table: no files, empty result.
 """
 
 from __future__ import annotations
