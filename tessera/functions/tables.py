@@ -57,3 +57,17 @@ def running_max(df: DataFrame, key: str, order: list[str], value: str, name: str
     carry = total.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), "_total").withColumn("_carry", before).drop("_total")
     out = df.withColumn("_own", own).join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
     return out.withColumn(name, F.greatest("_own", "_carry")).drop("_own", "_carry", "_key", "_at", "_part")
+
+
+def first_of_each(df: DataFrame, key: str, order: list, n: int, parts: int = 32) -> DataFrame:
+    """The first n rows of each key by order, which must be total.
+
+    Each key is dealt into parts by a hash of its rows, whose own first n are kept; so a key with a third of all rows
+    is `parts` tasks' and then n * parts rows, however many it has.
+    """
+    from pyspark.sql import Window
+
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    for by in ([key, "_part"], [key]):
+        dealt = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_i") <= n)
+    return dealt.drop("_part", "_i")

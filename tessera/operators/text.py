@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import first_of_each, stored
+
 # Fixed values.
 IMPORT_LINE = r"^\s*(import\b|from\b.*\bimport\b|use\b.*;|#include\b|require\b).*$"
 TRAILERS = ["Co-Authored-By", "Signed-off-by", "Reviewed-by", "Generated-by", "Assisted-by", "Change-Id", "PR-URL", "Reviewed-On"]
@@ -93,17 +95,18 @@ def trailer_column(trailer: str) -> str:
 
 
 def probe(commits: DataFrame, recent: int = 2000) -> DataFrame:
-    """Per repo (repo, i: 0 for the newest) the counters of `provenance`, of each trailer, and of the newest `recent`."""
-    df, c = provenance(commits), F.col
-    n = lambda x: F.count_if(x)
-    new = c("i") < recent
+    """Per repo (repo, n: larger for newer ones) the counters of `provenance`, of each trailer, and of the newest `recent`."""
+    c, n = F.col, lambda x: F.count_if(x)
+    flags = [trailer_column(t) for t in TRAILERS]
+    df = stored(provenance(commits).select("repo", "n", "identity", "co_authored", "agent_co_authored", "structured", "any", "agent_route", *flags), "provenance")  # messages are read once
     out = df.groupBy("repo").agg(
         F.count("*").alias("commits"), n(c("identity").isNotNull()).alias("s1"), n(c("identity") == "authoring-agent").alias("s1_agent"), n(c("identity") == "ci-automation").alias("s1_ci"),
-        n(c("co_authored")).alias("s2"), n(c("agent_co_authored")).alias("s2_agent"), n(c("structured")).alias("s3"), n(c("any")).alias("any"), n(c("agent_route")).alias("agent_route"),
-        *[n(c(trailer_column(t))).alias(trailer_column(t)) for t in TRAILERS], n(new).alias("recent"), n(new & c("agent_route")).alias("recent_agent_route"), n(new & c("any")).alias("recent_any"),
+        n(c("co_authored")).alias("s2"), n(c("agent_co_authored")).alias("s2_agent"), n(c("structured")).alias("s3"), n(c("any")).alias("any"), n(c("agent_route")).alias("agent_route"), *[n(c(t)).alias(t) for t in flags],
     )
+    new = first_of_each(df.select("repo", "n", "agent_route", "any"), "repo", [F.desc("n")], recent)
+    new = new.groupBy("repo").agg(F.count("*").alias("recent"), n(c("agent_route")).alias("recent_agent_route"), n(c("any")).alias("recent_any"))
     share = lambda a, b: F.round(c(a) * 100.0 / F.greatest(c(b), F.lit(1)), 6)
-    return out.withColumns({"pct_agent_route": share("agent_route", "commits"), "pct_any": share("any", "commits"), "pct_recent_agent_route": share("recent_agent_route", "recent"), "pct_recent_any": share("recent_any", "recent")})
+    return out.join(new, "repo").withColumns({"pct_agent_route": share("agent_route", "commits"), "pct_any": share("any", "commits"), "pct_recent_agent_route": share("recent_agent_route", "recent"), "pct_recent_any": share("recent_any", "recent")})
 
 
 def verdict(c1: Column, c2: Column, c3: Column) -> Column:

@@ -182,12 +182,10 @@ q as (select *, round(100.0::double * agent_route / greatest(commits, 1), 6) pct
 
 
 def commits(spark, d):
-    from pyspark.sql import Window
-
     k, heavy = F.col("event_id"), F.col("user_id") % 12 < 8
     e = table(spark, d, "events")
     return e.select(
-        (F.col("user_id") % 12).alias("repo"), (F.row_number().over(Window.partitionBy(F.col("user_id") % 12).orderBy(F.desc("event_id"))) - 1).alias("i"),
+        (F.col("user_id") % 12).alias("repo"), k.alias("n"),
         F.when(heavy & (k % 3 == 0), pick(NAMES, k)).otherwise("Jo Grower").alias("author"), F.when(k % 4 == 0, pick(MAILS, F.floor(k / 7))).otherwise("jo@x").alias("author_email"),
         F.when(heavy & (k % 9 == 0), pick(NAMES, F.floor(k / 11))).otherwise("Jo Grower").alias("committer"), F.lit("jo@x").alias("committer_email"),
         F.concat_ws("\n", F.lit("work"), pick(LINES, F.floor(k / 2)), pick(LINES, F.floor(k / 5))).alias("body"),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.tables import running_max
+from tessera.functions.tables import first_of_each, running_max
 from tessera.operators import graph, intervals, log, trees
 
 
@@ -145,3 +145,12 @@ def test_running_max_and_intervals(spark):
     ops = [(rng.randrange(2), float(s), float(s + rng.randrange(4)), rng.randrange(300)) for s in [rng.randrange(100) for _ in range(300)]]
     found = {tuple(r) for r in intervals.offenders(spark.createDataFrame(ops, "ws int, start_s double, end_s double, seq long")).collect()}
     assert found == {(b[0], b[3]) for i, a in enumerate(ops) for j, b in enumerate(ops) if i != j and a[0] == b[0] and a[2] <= b[1] and b[3] <= a[3] and a[1] < a[2]}
+
+
+def test_first_of_each(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("aaab"), k, rng.randrange(9)) for k in rng.sample(range(5000), 900)]
+    df = spark.createDataFrame(rows, "key string, k long, v long")
+    for n in (1, 7, 5000):
+        got = {(r.key, r.k) for r in first_of_each(df, "key", [F.desc("k")], n, parts=4).collect()}
+        assert got == {(key, k) for key in "ab" for k in sorted((r[1] for r in rows if r[0] == key), reverse=True)[:n]}
