@@ -38,6 +38,7 @@ SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Every leftmost non-overlapping match: start, kind, end (code points, end exclusive), value."""
     none = F.array().cast(SPAN)
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
